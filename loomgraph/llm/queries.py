@@ -4,8 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..runtime import table
-from . import knn
+from ..runtime import cut, table
+from . import knn, neardup
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, pairs = neardup.near_duplicates(table(spark, sf_dir, "noderag_embeddings"), "node_id", "content")
+    nodes = neardup.node_pairs(members, pairs).select(F.lit("node").alias("rec_kind"), "key_a", "key_b")
+    files = neardup.same_files(table(spark, sf_dir, "noderag_file_processing"))
+    return nodes.union(files.select(F.lit("file"), "key_a", "key_b"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a stored node of 32 words or more: its class of equal sets, its group, its links."""
+    members, pairs = neardup.near_duplicates(table(spark, sf_dir, "noderag_embeddings"), "node_id", "content")
+    return neardup.groups(members, cut(pairs))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +31,5 @@ def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest_of(rows.where(F.col("id") % 100 == 0), rows)
 
 
-QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest}
 ORACLE: dict[str, str] = {}
