@@ -230,7 +230,8 @@ def _expand(found: DataFrame, held: DataFrame, classes: DataFrame, k: int) -> Da
     near = heads.select("vh", F.col("node_id").alias("other"), "r")
     within = held.join(near, "vh").where("node_id != other").select(F.col("node_id").alias("x"), F.col("other").alias("y"), F.lit(1.0).alias("cosine"))
     # pairs of different vectors: a member of one class, the first members of the other
-    both = found.select(F.col("va").alias("v"), F.col("vb").alias("vy"), "cosine").union(found.select(F.col("vb").alias("v"), F.col("va").alias("vy"), "cosine"))
+    sides = F.array(F.struct(F.col("va").alias("v"), F.col("vb").alias("vy")), F.struct(F.col("vb").alias("v"), F.col("va").alias("vy")))
+    both = found.select(F.inline(sides), "cosine")
     pos = W.partitionBy("v").orderBy(F.desc("cosine"), "vy")
     both = both.withColumn("r", F.row_number().over(pos)).where(F.col("r") <= k).drop("r")
     single = held.join(classes.where("copies = 1").select("vh"), "vh", "left_semi").select(F.col("vh").alias("vy"), F.col("node_id").alias("y"))

@@ -199,7 +199,7 @@ def _meet(rows: DataFrame, t: float) -> DataFrame:
             cnt = n[s:e]
             i = np.repeat(lead[s:e], cnt)
             j = at[np.repeat(lo[s:e] - (np.cumsum(cnt) - cnt), cnt) + np.arange(cnt.sum())]
-            differ = np.bitwise_count(c["s0"][i] ^ c["s0"][j]) + np.bitwise_count(c["s1"][i] ^ c["s1"][j])
+            differ = sum(np.bitwise_count((c[n][i] ^ c[n][j]).view(np.uint64)) for n in ("s0", "s1"))
             both = c["size"][i] + c["size"][j]
             # |x ^ y| <= (1 - t) / (1 + t) (|x| + |y|) for similar sets; the sketches differ in no more bits
             keep = (differ <= both * ((1 - t) / (1 + t)) + 1e-9) & (c["set_id"][i] != c["set_id"][j])
