@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import cut, table
-from . import knn, neardup
+from . import knn, neardup, packing, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +31,22 @@ def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest_of(rows.where(F.col("id") % 100 == 0), rows)
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest}
-ORACLE: dict[str, str] = {}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "document_chunks")).select("chunk_key").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_chunks(table(spark, sf_dir, "document_chunks"))
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing}
+ORACLE: dict[str, str] = {
+    "p5_found": r"""
+        SELECT chunk_key FROM document_chunks
+        WHERE len(regexp_extract_all(content, '[\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[^\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+')) > 512
+    """,
+}
