@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import cut, table
-from . import knn, leak, neardup, packing, splitting
+from . import knn, leak, neardup, packing, sentences, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.removal_spans(leak.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p7_found": p7_found, "p7_spans": p7_spans}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 ORACLE: dict[str, str] = {
     "p5_found": r"""
         SELECT chunk_key FROM document_chunks
