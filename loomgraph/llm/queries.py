@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import cut, table
-from . import knn, leak, names, neardup, packing, sentences, splitting
+from . import knn, leak, names, neardup, packing, scanned, sentences, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,14 @@ def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest_of(rows.where(F.col("id") % 100 == 0), rows)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.findings(table(spark, sf_dir, "document_chunks"))[0]
+
+
+def p3_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repair(table(spark, sf_dir, "document_chunks"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_pairs(names.link_names(table(spark, sf_dir, "graph_nodes")))
 
@@ -64,7 +72,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 ORACLE: dict[str, str] = {
     "p5_found": r"""
         SELECT chunk_key FROM document_chunks
