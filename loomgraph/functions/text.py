@@ -49,7 +49,7 @@ def cost_estimate(size: Column, chunk_size: int = 1536) -> Column:
 
 def relation_parse(c: Column | str) -> Column:
     """``a, rel, b`` as struct(source, relation, target); inner commas stay in the relation; null under three parts."""
-    p = F.transform(F.split(lit_or_col(c), ","), F.trim)
+    p = F.transform(F.split(lit_or_col(c), ","), lambda x: F.trim(x))
     middle = F.array_join(F.slice(p, 2, F.size(p) - 2), ", ")
     return F.when(F.size(p) >= 3, F.struct(F.upper(p[0]).alias("source"), middle.alias("relation"), F.upper(F.element_at(p, -1)).alias("target")))
 
@@ -64,7 +64,7 @@ def json_list_parse(c: Column | str) -> Column:
     t = F.coalesce(lit_or_col(c), F.lit(""))
     inner = _bracketed(t)
     parsed = F.from_json(F.when(inner != "", inner), "array<string>")
-    items = F.filter(F.transform(parsed, F.trim), lambda x: x.isNotNull() & (x != ""))
+    items = F.filter(F.transform(parsed, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     lines = F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), "^[- ]+", ""), '^"+|"+$', ""))
     return F.when((inner != "") & parsed.isNotNull(), items).otherwise(F.filter(lines, lambda x: x != ""))
 

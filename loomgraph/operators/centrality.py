@@ -4,7 +4,8 @@ Core numbers: repeated h-index of the neighbours' values, from counts by value,
 neighbours are never gathered.  Betweenness: exact; while the edges are few enough to be
 sent to executors (checked), sources are spread over tasks that each hold the adjacency;
 beyond that, blocks of sources advance level by level as joins.  Communities: local moving
-by modularity with alternating halves of the nodes, then contraction, as joins.
+by modularity, then contraction, repeated; graphs of a checked size in one task, larger
+ones as joins in which alternating halves of the nodes move.
 
 Defined results: self loops and repeated pairs are ignored, isolated nodes have core 0,
 betweenness 0 and their own community; equal gains go to the least community id.
@@ -142,10 +143,69 @@ def important_entities(nodes: DataFrame, scores: DataFrame, fraction: float = 0.
     return e.orderBy(F.desc("importance"), "seq", "id").limit(max(1, int(n * fraction)) if n else 0)
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 6) -> DataFrame:
+def _local_moving(adj: list[dict[int, float]], resolution: float) -> list[int]:
+    """Louvain on one machine: nodes in order, ties to the least community; labels are least members."""
+    label = list(range(len(adj)))
+    graph = adj
+    while True:
+        k = [sum(a.values()) for a in graph]
+        two_m = sum(k)
+        com, tot, moved_any, moving = list(range(len(graph))), k[:], False, two_m > 0
+        while moving:
+            moving = False
+            for v in range(len(graph)):
+                old = com[v]
+                tot[old] -= k[v]
+                kin: dict[int, float] = {old: 0.0}
+                for u, w in graph[v].items():
+                    if u != v:
+                        kin[com[u]] = kin.get(com[u], 0.0) + w
+                gain = lambda c: kin[c] - resolution * k[v] * tot[c] / two_m  # noqa: B023, E731
+                here = gain(old)
+                best = min(kin, key=lambda c: (-round(gain(c), 9), c))
+                com[v] = best if gain(best) > here + 1e-9 else old
+                tot[com[v]] += k[v]
+                if com[v] != old:
+                    moving = moved_any = True
+        if not moved_any:
+            return label
+        first: dict[int, int] = {}
+        for v, c in enumerate(com):
+            first.setdefault(c, len(first))
+        merged: list[dict[int, float]] = [{} for _ in first]
+        for v, a in enumerate(graph):
+            row = merged[first[com[v]]]
+            for u, w in a.items():
+                row[first[com[u]]] = row.get(first[com[u]], 0.0) + w
+        label = [first[com[x]] for x in label]
+        graph = merged
+
+
+def _communities_in_task(adj: DataFrame, resolution: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = pd.concat(list(batches), ignore_index=True)
+        ids = sorted(set(e["src"]))
+        number = {v: i for i, v in enumerate(ids)}
+        rows: list[dict[int, float]] = [{} for _ in ids]
+        for a, b in sorted(zip(e["src"].map(number), e["dst"].map(number))):
+            rows[a][b] = 1.0
+        label = _local_moving(rows, resolution)
+        least: dict[int, str] = {}
+        for v, c in enumerate(label):
+            least.setdefault(c, ids[v])
+        yield pd.DataFrame({"id": ids, "c2": [least[c] for c in label]})
+
+    return adj.coalesce(1).mapInPandas(run, "id string, c2 string")
+
+
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 6, send_edges: int = SEND_EDGES) -> DataFrame:
     """``id, community``: modularity communities; the label is the least node id inside."""
     e = both_ways(edges).select("src", "dst", F.lit(1.0).alias("w"))
     graph = cut(e)
+    m = graph.count()
+    if 0 < m <= send_edges:
+        small = _communities_in_task(graph.select("src", "dst"), resolution)
+        return nodes.select("id").join(small, "id", "left").select("id", F.coalesce("c2", "id").alias("community"))
     two_m = graph.agg(F.sum("w")).first()[0]
     member = nodes.select("id", F.col("id").alias("c"))
     if not two_m:
