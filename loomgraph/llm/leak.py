@@ -229,12 +229,14 @@ def _search_shard(items: Items, docs: list[tuple[int, str]], words: list[np.ndar
     diagonal = place - pos
     group = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(doc) else doc
     keep = np.zeros(len(doc), bool)
-    # a passage of so many words has no more than one in seven added or dropped
-    for shift in range(3, 12):
-        if len(doc) > shift:
-            ok = (group[shift:] == group[:-shift]) & (place[shift:] - place[:-shift] <= reach) & (np.abs(diagonal[shift:] - diagonal[:-shift]) <= 8)
-            for k in range(shift + 1):
-                keep[k : len(doc) - shift + k] |= ok
+    # a passage drifts by few words, so its phrases lie in one of two overlapping bands of diagonals
+    for shift in (0, 8):
+        band = (diagonal + shift) // 16
+        o = np.lexsort((place, band, group))
+        p, g, b = place[o], group[o], band[o]
+        ok = (g[3:] == g[:-3]) & (b[3:] == b[:-3]) & (p[3:] - p[:-3] <= reach)
+        for k in range(4):
+            keep[o[k : len(o) - 3 + k][ok]] = True
     place, pos, doc, item, group = place[keep], pos[keep], doc[keep], item[keep], group[keep]
     if not len(doc):
         return
@@ -246,8 +248,11 @@ def _search_shard(items: Items, docs: list[tuple[int, str]], words: list[np.ndar
         base, wd, wi = int(start[d]), words[d], items.words[k]
         left = max(0, int(place[a]) - base - len(wi))
         right = min(len(wd), int(place[b - 1]) - base + len(wi) + SEED)
-        if (got := passage(wi, wd[left:right].tolist())) is not None:
-            yield d, k, left + got[0], left + got[1]
+        step = len(wi) + SEED
+        # long stretches of repeated text are looked at window by window
+        for at in range(left, max(left + 1, right - 2 * step), step):
+            if (got := passage(wi, wd[at : min(right, at + 3 * step)].tolist())) is not None:
+                yield d, k, at + got[0], at + got[1]
 
 
 def leaked_passages(corpus: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
