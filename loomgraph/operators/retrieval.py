@@ -57,10 +57,10 @@ def select_nodes(seeds: DataFrame, ranked: DataFrame, nodes: DataFrame, quotas:
     return s.unionByName(h)
 
 
-def expand_attributes(selected: DataFrame, edges: DataFrame, nodes: DataFrame, strict_reference: bool = False) -> DataFrame:
-    """Attribute nodes of selected entities. Edges run from attribute to entity; ``strict_reference`` follows successors only and so finds none there."""
+def expand_attributes(selected: DataFrame, edges: DataFrame, nodes: DataFrame, strict_direction: bool = False) -> DataFrame:
+    """Attribute nodes of selected entities. Edges run from attribute to entity; ``strict_direction`` follows successors only and so finds none there."""
     n = selected.where("type = 'N'").select("id")
-    a, b = ("source", "target") if strict_reference else ("target", "source")
+    a, b = ("source", "target") if strict_direction else ("target", "source")
     found = edges.join(n.withColumnRenamed("id", a), a, "left_semi").select(F.col(b).alias("id")).distinct()
     return found.join(nodes.where("type = 'A'").select("id", "type"), "id")
 

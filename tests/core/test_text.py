@@ -77,7 +77,7 @@ def test_chunk_tokens(spark):
             return "".join(ids)
 
     got = chunking.chunk_tokens(spark.createDataFrame([(1, " ab cd ef "), (2, None)], "id int, t string"), "id", "t", Chars, 6, 2).collect()
-    assert [(r["content"], r["start_char"]) for r in got] == [("ab cd", 0), ("d ef", 4)]
+    assert [(r["content"], r["start_char"]) for r in got] == [("ab cd", 0), ("cd ef", 4)]
 
 
 def test_conversations(spark):
