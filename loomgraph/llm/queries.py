@@ -74,6 +74,23 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 ORACLE: dict[str, str] = {
+    "p1_found": """
+        WITH t AS (SELECT DISTINCT node_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM noderag_embeddings WHERE content IS NOT NULL),
+        b AS (SELECT node_id, w, row_number() OVER () AS r FROM t WHERE len(w) >= 32),
+        g AS (SELECT DISTINCT r, node_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM b),
+        s AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+        j AS (SELECT x.r AS a, y.r AS b, x.node_id AS na, y.node_id AS nb, count(*) AS c FROM g x JOIN g y ON x.p = y.p AND x.node_id < y.node_id GROUP BY ALL),
+        d AS (SELECT DISTINCT file_id, CASE WHEN regexp_full_match(lower(file_hash), '[0-9a-f]{64}') THEN lower(file_hash)
+            WHEN regexp_full_match(file_hash, '[A-Za-z0-9+/_-]{43}=?') THEN lower(hex(from_base64(replace(replace(rtrim(file_hash, '='), '-', '+'), '_', '/') || '='))) END AS d FROM noderag_file_processing)
+        SELECT DISTINCT 'node' AS rec_kind, na AS key_a, nb AS key_b FROM j JOIN s sa ON sa.r = a JOIN s sb ON sb.r = b WHERE c / (sa.n + sb.n - c)::DOUBLE >= 0.6
+        UNION ALL SELECT DISTINCT 'file', x.file_id, y.file_id FROM d x JOIN d y ON x.d = y.d AND x.file_id < y.file_id WHERE NOT regexp_full_match(x.d, '0{64}')
+    """,
+    "p2_found": """
+        WITH v AS (SELECT node_id, any_value(embedding::DOUBLE[64]) AS e FROM noderag_embeddings WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY node_id),
+        p AS (SELECT x.node_id AS a, y.node_id AS b, array_cosine_similarity(x.e, y.e) AS c FROM v x JOIN v y ON x.node_id <> y.node_id WHERE c >= 0.9),
+        r AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) <= 5)
+        SELECT DISTINCT least(a, b) AS node_id_a, greatest(a, b) AS node_id_b FROM r
+    """,
     "p5_found": r"""
         SELECT chunk_key FROM document_chunks
         WHERE len(regexp_extract_all(content, '[\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[^\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+')) > 512
