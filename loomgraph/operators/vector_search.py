@@ -82,7 +82,8 @@ def index_stats(df: DataFrame, width: int, capacity: int = 100_000) -> DataFrame
 def similarity_graph(df: DataFrame, threshold: float, key: str = "node_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
     """``source, target, weight`` (source < target): all pairs at ``threshold`` or more, by a join of blocks.
 
-    Every block pair is one key, so work spreads evenly; each pair is looked at once.
+    Every block pair is one key, so work spreads evenly; each pair is looked at once. The
+    work grows with the square of the rows: meant for tables of moderate size.
     """
     unit = df.where(V.norm(F.col(vector)) > 0).select(key, F.transform(vector, lambda x: x.cast("double") / V.norm(F.col(vector))).alias("u"))
     b = blocks or 8
