@@ -124,7 +124,8 @@ def boundary_by_cost(sets: DataFrame, n: int, shared, t: float) -> int:  # noqa:
     return at
 
 
-def _postings(sets: DataFrame, shared, n: int, t: float, boundary: int) -> DataFrame:  # noqa: ANN001
+def _postings(sets: DataFrame, shared, n: int, t: float, boundary: int, largest: int) -> DataFrame:  # noqa: ANN001
+    """Keys of all sets. Light sets enter the inverted lists wherever any set of the input (``largest``) is heavy."""
     schema = "at bigint, set_id bigint, size int, leads boolean, indexed boolean, block int, s0 bigint, s1 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +138,9 @@ def _postings(sets: DataFrame, shared, n: int, t: float, boundary: int) -> DataF
                 ids = b.column("set_id").to_numpy()
                 parts = []  # key, row, leads, indexed, expected list length
                 light = size < boundary
-                if not light.all():
+                if largest >= boundary:
                     probe, index = _prefixes(size, t, 1)
-                    m = pos < probe[row]
+                    m = pos < np.where(light, index, probe)[row]
                     parts.append((value[m], row[m], ~light[row[m]], pos[m] < index[row[m]], f[m].astype(np.float64)))
                 if light.any():
                     probe, index = _prefixes(size, t, 2)
@@ -235,10 +236,10 @@ def _meet(rows: DataFrame, t: float) -> DataFrame:
 
 def similar_sets(sets: DataFrame, t: float, boundary: int | None = None) -> DataFrame:
     """``a, b, similarity`` (a < b) for all different sets of ``set_id, items`` (distinct) at ``t`` or more."""
-    n = sets.count()
+    n, largest = sets.agg(F.count("*"), F.coalesce(F.max(F.size("items")), F.lit(0))).first()
     shared = sets.sparkSession.sparkContext.broadcast(frequency_table(sets))
     boundary = boundary_by_cost(sets, n, shared, t) if boundary is None else boundary
-    found = _meet(_postings(sets, shared, n, t, boundary), t).distinct()
+    found = _meet(_postings(sets, shared, n, t, boundary, largest), t).distinct()
     left = sets.select(F.col("set_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))

@@ -37,6 +37,14 @@ def test_near_duplicates_equal_brute_force(spark, boundary, monkeypatch):
     assert got == want and len(want) > 20
 
 
+def test_light_sets_apart_from_heavy_ones_meet_them(spark):
+    light = [(i, list(range(100 * i, 100 * i + 20))) for i in range(8)]
+    heavy = [(50 + i, list(range(100 * i, 100 * i + 30))) for i in range(8)]  # 20 / 30
+    df = spark.createDataFrame(spark.sparkContext.parallelize(light + heavy, 2), "set_id bigint, items array<bigint>")
+    got = {(r["a"], r["b"]) for r in neardup.similar_sets(df, 0.6, 25).collect()}
+    assert got == {(i, 50 + i) for i in range(8)}
+
+
 def test_groups_are_the_connected_sets(spark):
     a = " ".join(f"a{i}" for i in range(40))
     df = spark.createDataFrame([("x", a), ("y", a + " b"), ("z", a), ("q", " ".join(f"c{i}" for i in range(40)))], "k string, t string")
