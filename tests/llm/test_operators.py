@@ -123,6 +123,19 @@ def test_explained():
     assert scanned.explained("cata1ogiie", "catalogue") and scanned.explained("tirnetable", "timetable") and not scanned.explained("incl", "inc")
 
 
+def test_confusable_words_share_a_shape(spark):
+    df = spark.createDataFrame([(right, wrong) for right, wrong in scanned._SHAPES if right.islower()], "a string, b string")
+    assert not df.where(scanned.shape(df["a"]) != scanned.shape(df["b"])).collect()
+
+
+def test_long_words_with_many_misread_places(spark):
+    ed = scanned.train_editor("communication administration intergovernmental recommendation".split())
+    right = {"c0rnrnuriicatiori": "communication", "adrniriistratiori": "administration", "iritcrg0vcrrirncrita1": "intergovernmental"}
+    words = spark.createDataFrame([(w,) for w in right], "w string")
+    counts = spark.createDataFrame([(w, 50) for w in right.values()], "w string, n bigint")
+    assert dict(scanned._corrections(words, counts, ed).collect()) == right
+
+
 def test_repaired_text():
     text = "Annual budget of Vomo   3\nThe harbour board audi-\nted it and the\npage was cl0sed.\nPage 3 of 9\n\fAnnual budget of Vomo   4\nAll went well."
     got = scanned.repaired(text, {scanned.head_key("Annual budget of Vomo")}, {"cl0sed": "closed"}, {"audited": "audited"})
