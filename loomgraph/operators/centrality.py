@@ -5,7 +5,8 @@ neighbours are never gathered.  Betweenness: exact; while the edges are few enou
 sent to executors (checked), sources are spread over tasks that each hold the adjacency;
 beyond that, blocks of sources advance level by level as joins.  Communities: local moving
 by modularity, then contraction, repeated; graphs of a checked size in one task, larger
-ones as joins in which alternating halves of the nodes move.
+ones as joins in which one part of the nodes moves at a time.  Both stop by one rule, but
+as they move nodes in another order, they may give other communities of like modularity.
 
 Defined results: self loops and repeated pairs are ignored, isolated nodes have core 0,
 betweenness 0 and their own community; equal gains go to the least community id.
@@ -198,8 +199,12 @@ def _communities_in_task(adj: DataFrame, resolution: float) -> DataFrame:
     return adj.coalesce(1).mapInPandas(run, "id string, c2 string")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 6, send_edges: int = SEND_EDGES) -> DataFrame:
-    """``id, community``: modularity communities; the label is the least node id inside."""
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, send_edges: int = SEND_EDGES, most_passes: int = 64) -> DataFrame:
+    """``id, community``: modularity communities; the label is the least node id inside.
+
+    Either form goes on until no node of any level gains by moving; as joins, one part of
+    the nodes moves at a time, and parts become smaller while a level does not settle.
+    """
     e = both_ways(edges).select("src", "dst", F.lit(1.0).alias("w"))
     graph = cut(e)
     m = graph.count()
@@ -210,36 +215,37 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, lev
     member = nodes.select("id", F.col("id").alias("c"))
     if not two_m:
         return member.withColumnRenamed("c", "community")
-    for _ in range(levels):
+    merged = True
+    while merged:
         strength = graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k"))
         own = cut(strength.select("v", F.col("v").alias("c"), "k"))
-        quiet = 0
-        for r in range(rounds):
-            total = own.groupBy("c").agg(F.sum("k").alias("tot"))
-            link = graph.where("src != dst").join(own.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v"), "c").agg(F.sum("w").alias("kin"))
-            here = own.select("v", F.col("c").alias("old"), "k")
-            cand = link.unionByName(own.select("v", "c", F.lit(0.0).alias("kin"))).groupBy("v", "c").agg(F.sum("kin").alias("kin"))
-            cand = cand.join(here, "v").join(total, "c")
-            rest = F.col("tot") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(F.lit(0.0))
-            gain = F.col("kin") - F.lit(resolution) * F.col("k") * rest / two_m
-            pick = cand.groupBy("v").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (F.col("c") == F.col("old")).alias("stay"))).alias("top"), F.max(F.when(F.col("c") == F.col("old"), F.round(gain, 9))).alias("now"))
-            best = cand.withColumn("g", F.round(gain, 9)).join(pick, "v").where("g = top.g").groupBy("v").agg(F.min("c").alias("new"), F.first("now").alias("now"), F.max("g").alias("g"))
-            # half of the nodes move at a time, so neighbours do not swap for ever
-            turn = F.pmod(F.xxhash64("v", F.lit(r // 2)), F.lit(2)) == r % 2
-            moved = own.join(best, "v", "left").select("v", F.when(turn & (F.col("g") > F.col("now") + 1e-9), F.col("new")).otherwise(F.col("c")).alias("c"), "k", (turn & (F.col("g") > F.col("now") + 1e-9)).alias("m"))
-            moved = cut(moved)
-            n_moved = moved.where("m").count()
-            own = moved.drop("m")
-            quiet = quiet + 1 if n_moved == 0 else 0
-            if quiet == 2:
+        for r in range(most_passes):
+            parts, n_moved = 2 << r // 8, 0
+            for k in range(parts):
+                total = own.groupBy("c").agg(F.sum("k").alias("tot"))
+                link = graph.where("src != dst").join(own.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v"), "c").agg(F.sum("w").alias("kin"))
+                here = own.select("v", F.col("c").alias("old"), "k")
+                cand = link.unionByName(own.select("v", "c", F.lit(0.0).alias("kin"))).groupBy("v", "c").agg(F.sum("kin").alias("kin"))
+                cand = cand.join(here, "v").join(total, "c")
+                rest = F.col("tot") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(F.lit(0.0))
+                gain = F.col("kin") - F.lit(resolution) * F.col("k") * rest / two_m
+                pick = cand.groupBy("v").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (F.col("c") == F.col("old")).alias("stay"))).alias("top"), F.max(F.when(F.col("c") == F.col("old"), F.round(gain, 9))).alias("now"))
+                best = cand.withColumn("g", F.round(gain, 9)).join(pick, "v").where("g = top.g").groupBy("v").agg(F.min("c").alias("new"), F.first("now").alias("now"), F.max("g").alias("g"))
+                # a part of the nodes moves at a time, so neighbours do not swap for ever
+                turn = F.pmod(F.xxhash64("v", F.lit(r)), F.lit(parts)) == k
+                moved = own.join(best, "v", "left").select("v", F.when(turn & (F.col("g") > F.col("now") + 1e-9), F.col("new")).otherwise(F.col("c")).alias("c"), "k", (turn & (F.col("g") > F.col("now") + 1e-9)).alias("m"))
+                moved = cut(moved)
+                n_moved += moved.where("m").count()
+                own = moved.drop("m")
+            if not n_moved:
                 break
+        else:
+            raise RuntimeError("communities did not settle")
         label = own.select("v", "c")
         least = label.groupBy("c").agg(F.min("v").alias("l"))
         label = cut(label.join(least, "c").select("v", F.col("l").alias("c2")))
         merged = label.where("v != c2").limit(1).count()
         member = member.join(label.withColumnRenamed("v", "c"), "c", "left").select("id", F.coalesce("c2", "c").alias("c"))
-        if not merged:
-            break
         graph = graph.join(label.select(F.col("v").alias("src"), F.col("c2").alias("s")), "src").join(label.select(F.col("v").alias("dst"), F.col("c2").alias("d")), "dst")
         graph = cut(graph.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")))
     least = member.groupBy("c").agg(F.min("id").alias("community"))

@@ -41,6 +41,12 @@ def test_two_cliques(spark, send):
     assert C.modularity(e, c) > 0.4
 
 
+def test_communities_by_joins_settle_or_say_so(spark):
+    n, e = nodes(spark, "abcdwxyz"), edges(spark, cliques())
+    with pytest.raises(RuntimeError, match="settle"):
+        C.communities(n, e, send_edges=0, most_passes=1)
+
+
 def test_two_cliques_centrality(spark):
     n, e = nodes(spark, "abcdwxyz"), edges(spark, cliques())
     assert {r[1] for r in C.core_numbers(n, e).collect()} == {3}
