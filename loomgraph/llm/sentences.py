@@ -8,7 +8,8 @@ that are capitalised only as openers, and frequent capitalised words that never
 sentence.  Second pass: each mark of a document is classified with these statistics.
 
 Scripts are told by their characters; languages in Latin script by function words, as
-the stored language is often missing or wrong.
+the stored language is often missing or wrong.  Both passes tell them by paragraph, from
+all of its text.
 
 Defined results: null and blank texts give no sentences; a heading or list line is one
 unit; a text without any mark is one sentence a paragraph; repeated documents each come out.
@@ -48,17 +49,31 @@ CLOSE = "”»“」』›"
 OPENER = re.compile(r"(?:\n\s*\n|[!?]\s+|\A\s*)(?:[\"“«„(\[¿¡]\s?)*([^\W\d_]+)")
 
 
-def language(text: str) -> str:
-    head = text[:400]
-    if not head.isascii() and len(OTHER_SCRIPT.findall(head)) * 4 >= len(head):
+def language(text: str, otherwise: str | None = "en") -> str | None:
+    """By the whole text; ``otherwise`` if nothing tells."""
+    # a quarter of such characters, of two bytes or more, makes the bytes a quarter more
+    if len(text.encode("utf-8", "surrogatepass")) * 4 >= len(text) * 5 and len(OTHER_SCRIPT.findall(text)) * 4 >= len(text):
         for name, pattern in SCRIPTS:
-            if len(pattern.findall(head)) * 4 >= len(head):
+            if len(pattern.findall(text)) * 4 >= len(text):
                 return name
     votes: dict[str, int] = {}
-    for w in head.lower().split():
-        if (k := _WHICH.get(w)) is not None:
+    for k in map(_WHICH.get, text.lower().split()):
+        if k is not None:
             votes[k] = votes.get(k, 0) + 1
-    return max(votes, key=votes.__getitem__) if votes else "en"
+    return max(votes, key=votes.__getitem__) if votes else otherwise
+
+
+def passages(text: str) -> list[tuple[int, int, bool, str]]:
+    """(start, end, whole, language) of each block; short ones take the language of most of the document."""
+    found, size = [], {}
+    for lo, hi, whole in blocks(text):
+        lang = language(text[lo:hi], None) if hi - lo >= 60 else None
+        if lang is not None:
+            size[lang] = size.get(lang, 0) + hi - lo
+        found.append((lo, hi, whole, lang))
+    usual = max(size, key=size.__getitem__) if size else language(text)
+    latin = usual if usual in FUNCTION_WORDS else "en"
+    return [(lo, hi, whole, lang or (latin if hi - lo >= 60 else usual)) for lo, hi, whole, lang in found]
 
 
 def kind(word: str) -> str:
@@ -81,12 +96,18 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             for t in b.column("text").to_pylist():
                 if not t:
                     continue
-                words, follow, openers = counts.setdefault(language(t), (Counter(), Counter(), Counter()))
-                tokens = t.split()
-                words.update(tokens)
-                if "." in t:
-                    follow.update((a, b) for a, b in zip(tokens, tokens[1:]) if a[-1] == "." or a[-1] in ",;:" and a[-2:-1] == ".")
-                openers.update(OPENER.findall(t))
+                runs: list[tuple[str, int]] = []  # stretches of one language
+                for lo, _, _, lang in passages(t):
+                    if not runs or runs[-1][0] != lang:
+                        runs.append((lang, lo))
+                for (lang, lo), (_, hi) in zip(runs, [*runs[1:], ("", len(t))]):
+                    part = t[lo:hi]
+                    words, follow, openers = counts.setdefault(lang, (Counter(), Counter(), Counter()))
+                    tokens = part.split()
+                    words.update(tokens)
+                    if "." in part:
+                        follow.update((a, b) for a, b in zip(tokens, tokens[1:]) if a[-1] == "." or a[-1] in ",;:" and a[-2:-1] == ".")
+                    openers.update(OPENER.findall(part))
         rows: Counter = Counter()
         for lang, (words, follow, openers) in counts.items():
             for token, n in words.items():
@@ -259,7 +280,6 @@ def ends_here(model: Model, lang: str, left: str, mark: str, gap: str, opener: s
 def sentences(text: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of each sentence of the text, without white space at the ends."""
     out: list[tuple[int, int]] = []
-    usual = language(text)
     lowered = text == text.lower()
 
     def add(a: int, b: int) -> None:
@@ -270,12 +290,10 @@ def sentences(text: str, model: Model) -> list[tuple[int, int]]:
         if b > a:
             out.append((a, b))
 
-    for lo, hi, whole in blocks(text):
+    for lo, hi, whole, lang in passages(text):
         if whole:
             add(lo, hi)
             continue
-        # passages in another language occur
-        lang = language(text[lo : lo + 300]) if hi - lo >= 60 else usual
         caseless = lowered and lang in FUNCTION_WORDS or lang in ("hi", "ar", "th", "zh", "ja")
         start, opened, opened_at = lo, "", 0
         skip = lo

@@ -298,6 +298,15 @@ def test_sentences_round_trip(spark):
     assert right >= 0.95 * len(want)
 
 
+def test_language_is_told_by_paragraph(spark):
+    head = "The office of the board is in the harbour and it was opened by the mayor for the people of the town. " * 5
+    body = "Der Bescheid ist von der Behörde und wurde mit dem Antrag verschickt. " * 12
+    assert sentences.language(head + body) == "de"
+    rows = sentences.statistics(spark.createDataFrame([(head + "\n\n" + body,)], "text string")).where("what = 'w'").collect()
+    got = {(r["a"], r["lang"]): r["n"] for r in rows}
+    assert got["Bescheid", "de"] == 12 and got["harbour", "en"] == 5 and ("Bescheid", "en") not in got and ("harbour", "de") not in got
+
+
 def split(spark, rows):
     return sentences.split_sentences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
 
