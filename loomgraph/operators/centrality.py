@@ -28,20 +28,21 @@ from .graph import both_ways
 SEND_EDGES = 4_000_000
 
 
-def core_numbers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """``id, core``."""
+def core_numbers(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """``id, core``: rounds go on until nothing changes (values only fall); ``max_rounds`` used up before is an error."""
     adj = cut(both_ways(edges))
     cur = cut(adj.groupBy("src").agg(F.count("*").alias("core")).withColumnRenamed("src", "id"))
-    for _ in range(max_rounds):
+    changed, rounds = 1, 0
+    while changed:
+        if rounds == max_rounds:
+            raise RuntimeError("core numbers did not settle")
         seen = adj.join(cur.select(F.col("id").alias("dst"), F.col("core").alias("c")), "dst").join(cur.select(F.col("id").alias("src"), "core"), "src")
         tally = seen.groupBy("src", F.least("c", "core").alias("value")).agg(F.count("*").alias("n"))
         at_least = F.sum("n").over(W.partitionBy("src").orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, 0))
         h = tally.withColumn("m", F.least("value", at_least)).groupBy("src").agg(F.max("m").alias("core"))
         new = cut(h.withColumnRenamed("src", "id"))
         changed = new.join(cur.withColumnRenamed("core", "old"), "id").where("core != old").limit(1).count()
-        cur = new
-        if not changed:
-            break
+        cur, rounds = new, rounds + 1
     return nodes.select("id").join(cur, "id", "left").na.fill(0, ["core"])
 
 

@@ -27,6 +27,14 @@ def test_path(spark):
     assert G.density(n, e).first()["density"] == 3 / 12
 
 
+def test_core_numbers_settle_or_say_so(spark):
+    ids = [f"v{i:02d}" for i in range(14)]
+    n, e = nodes(spark, ids), edges(spark, list(zip(ids, ids[1:])))
+    assert {r[1] for r in C.core_numbers(n, e).collect()} == {1}
+    with pytest.raises(RuntimeError, match="settle"):
+        C.core_numbers(n, e, max_rounds=2)
+
+
 def cliques():
     k = [(a, b) for g in ("abcd", "wxyz") for a in g for b in g if a < b]
     return k + [("d", "w")]
