@@ -9,11 +9,13 @@ similarity and never rank; ties go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import vectors as V
+from ..runtime import cut
 
 
 def _filtered(df: DataFrame, org_id: str | None, file_ids: Sequence[str] | None, types: Sequence[str] | None) -> DataFrame:
@@ -43,17 +45,24 @@ def search_l2(df: DataFrame, query: Sequence[float], k: int = 10, key: str = "no
 
 
 def search_many(queries: DataFrame, base: DataFrame, k: int, query_key: str = "query_id", key: str = "node_id", vector: str = "embedding", most_queries: int = 1_000) -> DataFrame:
-    """``query_id, node_id, similarity, rank`` for a stated, checked number of query vectors: one pass over the base.
+    """``query_id, node_id, similarity, rank`` for all query vectors: a pass over the base for each block of ``most_queries``.
 
     Every task keeps its k best of a query before anything is shuffled.
     """
-    rows = queries.select(query_key, vector).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError("too many queries for one pass; split them into blocks")
-    if not rows:
+    n = queries.count()
+    if not n:
         return base.select(F.lit(None).cast("string").alias(query_key), key, F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
-    sent = F.broadcast(queries.select(query_key, F.col(vector).alias("_q")))
-    pairs = base.select(key, vector).join(sent, F.size(vector) == F.size("_q"))
+    blocks = -(-n // most_queries)
+    sent = queries.select(query_key, F.col(vector).alias("_q"))
+    if blocks == 1:
+        return _search_block(sent, base, k, query_key, key, vector)
+    sent = cut(sent.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(blocks))))
+    parts = [cut(_search_block(sent.where(F.col("_b") == b).drop("_b"), base, k, query_key, key, vector)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _search_block(sent: DataFrame, base: DataFrame, k: int, query_key: str, key: str, vector: str) -> DataFrame:
+    pairs = base.select(key, vector).join(F.broadcast(sent), F.size(vector) == F.size("_q"))
     s = pairs.select(query_key, key, V.cosine_similarity(F.col(vector), F.col("_q")).alias("similarity")).where("similarity is not null")
     # ranking under a constant is pre-limited in each task (window group limit)
     w = W.partitionBy(query_key).orderBy(F.desc("similarity"), key)

@@ -105,3 +105,11 @@ def test_files(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in FS.load_documents(f).collect()}
     assert got == {"a.txt": "plain é", "b.md": "latin é", "d.docx": "One\nTwo"}
     assert FS.discover(spark, ["/no/such/folder"]).count() == 0
+
+
+def test_many_queries_go_in_blocks(spark):
+    rows = [(i, [float(i % 5), float(i % 7), 1.0]) for i in range(30)]
+    base = spark.createDataFrame(rows, "node_id bigint, embedding array<double>")
+    queries = base.where("node_id < 11").withColumnRenamed("node_id", "query_id")
+    got = [sorted(tuple(r) for r in VS.search_many(queries, base, 3, most_queries=m).collect()) for m in (4, 100)]
+    assert got[0] == got[1] and len(got[0]) == 33
