@@ -1,8 +1,8 @@
 """Evaluation passages inside a corpus, by an FM-index of every corpus shard.
 
-A shard is the word sequence of a run of whole documents.  Its Burrows-Wheeler transform
-is ordered by the first ``SEED`` words of each suffix, which is all that backward search
-of phrases of that length needs; ranks come from a wavelet matrix, places from sampled
+A shard is the word sequence of a run of whole documents, in which words that no test item
+has are ends of pieces.  Its Burrows-Wheeler transform follows the full order of suffixes,
+every end being a symbol of its own; ranks come from a wavelet matrix, places from sampled
 suffix positions.  Every ``SEED``-word phrase of every test item is searched.  A passage
 that satisfies the rules below must hold at least four such phrases close to one
 diagonal, so places without them are dropped; the others are aligned word by word.
@@ -13,7 +13,8 @@ letters or digits without case, accents, punctuation and markup.
 
 Defined results: null or blank texts and items hold nothing; repeated documents and items
 each count; an item shorter than 18 words can't be found.  Test items are sent to the
-executors in groups of at most ``ITEM_CHARS`` characters; the corpus is read once a group.
+executors in groups of about ``ITEM_CHARS`` characters; the corpus is read and indexed once
+for all groups.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,12 @@ SEED = 5
 #: Rules: consecutive words, words in order, and one edit in so many words.
 RUN, ORDERED, ONE_IN = 18, 24, 7
 #: Words of a shard, about; distance of sampled suffix positions; characters of a group of items.
-SHARD_WORDS, SAMPLE, ITEM_CHARS = 2_000_000, 4, 16_000_000
+SHARD_WORDS, SAMPLE, ITEM_CHARS = 2_000_000, 4, 4_000_000
+#: Most different words of all test items (about 100 bytes each in the executors' dictionary).
+MOST_WORDS = 2_000_000
 
 WORD = re.compile(r"[^\W_]+")
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+TAG = re.compile(r"""</?[A-Za-z][\w:-]*(?:\s+[\w:-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?)*\s*/?>""")
 MARKS = re.compile("[̀-ͯ­​-‍⁠﻿]+")
 
 
@@ -106,27 +108,51 @@ class WaveletMatrix:
         return c, i - self.start[c]
 
 
+def suffix_order(seq: np.ndarray, bits: int) -> np.ndarray:
+    """Places of ``seq`` in the full order of its suffixes, every 0 being an end of its own (ends by place).
+
+    The words up to the first end are packed into one key and sorted; only what is still
+    equal, and so runs over more words than a key holds, goes into further rounds, in which
+    the rank of what follows is the key.  A round doubles the words that count.
+    """
+    n, width = len(seq), max(1, 62 // bits)
+    key, live = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(width):
+        w = np.r_[seq[k:], np.zeros(min(k, n), np.int64)][:n]
+        live &= w > 0
+        key = (key << bits) | np.where(live, w, 0)
+    order = np.argsort(key, kind="stable")
+    # suffixes that meet an end within the key are in order already: equal ones by the place of their end
+    s, alive = key[order], live[order]
+    tied = np.r_[False, (s[1:] == s[:-1]) & alive[1:]]
+    head = np.maximum.accumulate(np.where(tied, 0, np.arange(n)))
+    rank = np.empty(n, np.int64)
+    rank[order] = head
+    at = np.flatnonzero(tied | np.r_[tied[1:], False])
+    while len(at):
+        place, group = order[at], head[at]
+        key = rank[place + width]
+        o = np.lexsort((key, group))
+        place, group, key = place[o], group[o], key[o]
+        order[at] = place
+        tied = np.r_[False, (group[1:] == group[:-1]) & (key[1:] == key[:-1])]
+        head[at] = np.maximum.accumulate(np.where(tied, 0, at))
+        rank[place] = head[at]
+        at = at[tied | np.r_[tied[1:], False]]
+        width *= 2
+    return order
+
+
 class FMIndex:
-    """Phrases of up to ``depth`` words of a sequence of symbols 0 .. sigma-1 (0 is never searched)."""
+    """Phrases of a sequence of symbols 1 .. sigma-1, cut by ends (0); ends are never searched nor crossed."""
 
-    def __init__(self, seq: np.ndarray, sigma: int, depth: int = SEED) -> None:
+    def __init__(self, seq: np.ndarray, sigma: int) -> None:
         seq = np.r_[seq, 0].astype(np.int64)
-        n, bits = len(seq), max(1, int(sigma - 1).bit_length())
-        take = max(1, min(depth, 62 // bits))
-        key = np.zeros(n, np.int64)
-        for k in range(take):
-            key = (key << bits) | np.r_[seq[k:], np.zeros(min(k, n), np.int64)][:n]
-        sa = np.argsort(key, kind="stable")
-        while take < depth:  # prefix doubling
-            s = key[sa]
-            rank = np.empty(n, np.int64)
-            rank[sa] = np.cumsum(np.r_[0, (s[1:] != s[:-1]).astype(np.int64)])
-            key = rank * (n + 1) + np.r_[rank[take:] + 1, np.zeros(min(take, n), np.int64)][:n]
-            sa = np.argsort(key, kind="stable")
-            take *= 2
+        sa = suffix_order(seq, max(1, int(sigma - 1).bit_length()))
         self.wavelet = WaveletMatrix(seq[sa - 1], sigma)
         self.before = np.r_[0, np.cumsum(np.bincount(seq, minlength=sigma))]
-        self.sampled = sa % SAMPLE == 0
+        # the walk back to a sampled place ends at the first word after an end at the latest
+        self.sampled = (sa % SAMPLE == 0) | (seq[sa - 1] == 0)
         self.index = np.cumsum(self.sampled) - 1
         self.places = sa[self.sampled]
 
@@ -154,60 +180,118 @@ class FMIndex:
         return out
 
 
-class Items:
-    """Test items as word numbers, with every phrase of SEED words and where it stands."""
+class Words:
+    """Numbers of all words of the test items, from 1; a shard is written in them once for all groups of items."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.words: dict[int, list[int]] = {}
-        at: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, (_, text) in enumerate(rows):
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in WORD.findall(normal(text))]
-            self.words[k] = w
-            for i in range(len(w) - SEED + 1):
-                at.setdefault(tuple(w[i : i + SEED]), []).append((k, i))
-        self.ids = [i for i, _ in rows]
-        self.sigma = len(self.number) + 1
-        self.phrases = np.array(list(at), np.int64).reshape(-1, SEED)
-        self.first = np.r_[0, np.cumsum([len(v) for v in at.values()])].astype(np.int64)
-        flat = [x for v in at.values() for x in v]
-        self.item = np.array([x[0] for x in flat], np.int64)
-        self.pos = np.array([x[1] for x in flat], np.int64)
-
-
-def passage(item: list[int], doc: list[int]) -> tuple[int, int] | None:
-    """Word range of ``doc`` that holds ``item`` by the rules, or None."""
-    blocks = [b for b in SequenceMatcher(None, item, doc, autojunk=False).get_matching_blocks() if b.size]
-    best = None
-    for b in blocks:
-        if b.size >= RUN and (best is None or b.size > best[1] - best[0]):
-            best = (b.b, b.b + b.size)
-    for i, s in enumerate(blocks):
-        edits = 0
-        for j in range(i, len(blocks)):
-            if j > i:
-                p, q = blocks[j - 1], blocks[j]
-                edits += max(q.a - p.a - p.size, q.b - p.b - p.size)
-            e = blocks[j]
-            span = e.a + e.size - s.a
-            if edits * ONE_IN <= span and span >= ORDERED and (best is None or e.b + e.size - s.b > best[1] - best[0]):
-                best = (s.b, e.b + e.size)
-    return best
-
-
-def _search_shard(items: Items, docs: list[tuple[int, str]], words: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+
+    def write(self, text: str) -> np.ndarray:
+        return np.array([self.number.setdefault(x, len(self.number) + 1) for x in WORD.findall(normal(text))], np.int32)
+
+    def read(self, text: str) -> np.ndarray:
+        get = self.number.get
+        return np.array([get(x, 0) for x in WORD.findall(normal(text))], np.int32)
+
+    @property
+    def sigma(self) -> int:
+        return len(self.number) + 1
+
+
+class Items:
+    """A group of test items as arrays: every distinct phrase of SEED words, and the items and places where it stands."""
+
+    def __init__(self, ids: list[int], words: list[np.ndarray]) -> None:
+        self.ids, self.words = ids, words
+        long = [(k, np.lib.stride_tricks.sliding_window_view(w, SEED)) for k, w in enumerate(words) if len(w) >= SEED]
+        every = np.concatenate([v for _, v in long]) if long else np.zeros((0, SEED), np.int32)
+        item = np.concatenate([np.full(len(v), k, np.int32) for k, v in long]) if long else np.zeros(0, np.int32)
+        pos = np.concatenate([np.arange(len(v), dtype=np.int32) for _, v in long]) if long else np.zeros(0, np.int32)
+        self.phrases, which = np.unique(every, axis=0, return_inverse=True)
+        order = np.argsort(which.ravel(), kind="stable")
+        self.item, self.pos = item[order], pos[order]
+        self.first = np.r_[0, np.cumsum(np.bincount(which.ravel(), minlength=len(self.phrases)))].astype(np.int64)
+
+
+def reach(item: list[int], doc: list[int], most: int) -> list[tuple[int, int]]:
+    """For 0 .. most edits: how many words of item and doc the furthest alignment from their beginnings covers that ends with a common word."""
+
+    def slide(x: int, d: int) -> int:
+        while x < len(item) and x + d < len(doc) and item[x] == doc[x + d]:
+            x += 1
+        return x
+
+    front = {0: slide(0, 0)}  # by diagonal: item words
+    best = (front[0], front[0])
+    out = [best]
+    for e in range(1, most + 1):
+        new = {}
+        for d in range(-e, e + 1):
+            # one word changed, dropped or added, then all that agrees
+            x = max(front.get(d, -2) + 1, front.get(d + 1, -2) + 1, front.get(d - 1, -1))
+            x = min(x, len(item), len(doc) - d)
+            if x < 0 or x + d < 0:
+                continue
+            new[d] = y = slide(x, d)
+            if y > x and y > best[0]:
+                best = (y, y + d)
+        front = new
+        out.append(best)
+    return out
+
+
+def passages(item: list[int], doc: list[int], seeds: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Word ranges of ``doc`` that hold ``item`` by the rules around phrases in common, given as (place in item, place in doc).
+
+    An alignment by the rules holds a phrase, and so the whole run of common words around
+    it; from the run it goes on both ways as far as its edits allow.  Runs are followed to
+    their ends: the last words of a text are not taken out of one run to lengthen another.
+    """
+    most, seen = len(item) // ONE_IN, {}
+    for pos, at in seeds:
+        if seen.get(at - pos, -1) >= pos:
+            continue
+        i, j, k = pos, at, pos
+        while i and j and item[i - 1] == doc[j - 1]:
+            i, j = i - 1, j - 1
+        while k < len(item) and k + at - pos < len(doc) and item[k] == doc[k + at - pos]:
+            k += 1
+        seen[at - pos] = k - SEED
+        n, end = k - i, k + at - pos
+        got = (j, end) if n >= RUN else None
+        if len(item) >= ORDERED:
+            right = reach(item[k:], doc[end : end + len(item) + most], most)
+            left = reach(item[:i][::-1], doc[max(0, j - len(item) - most) : j][::-1], most)
+            for e, (x, y) in enumerate(left):
+                for f, (u, v) in enumerate(right):
+                    if x + n + u >= max(ORDERED, ONE_IN * (e + f)) and (got is None or end + v - j + y > got[1] - got[0]):
+                        got = (j - y, end + v)
+        if got:
+            yield got
+
+
+def shard_index(words: list[np.ndarray], sigma: int) -> tuple[FMIndex, np.ndarray, np.ndarray]:
+    """The index of a shard, the shard's place of each place of it, and where each document starts."""
     length = np.array([len(w) + 1 for w in words], np.int64)
     start = np.cumsum(length) - length
     seq = np.zeros(int(length.sum()), np.int32)
     for s, w in zip(start, words):
         seq[s : s + len(w)] = w
-    fm = FMIndex(seq, items.sigma)
+    # a run of words that no item has is one end
+    keep = np.flatnonzero((seq > 0) | (np.r_[1, seq[:-1]] > 0))
+    return FMIndex(seq[keep], sigma), np.r_[keep, len(seq)], start
+
+
+def _search_shard(items: Items, index: tuple[FMIndex, np.ndarray, np.ndarray], words: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+    fm, origin, start = index
+    if not len(items.phrases):
+        return
     lo, hi = fm.search(items.phrases)
     n = hi - lo
     if not n.sum():
         return
     phrase = np.repeat(np.arange(len(n)), n)
-    place = fm.locate(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+    place = origin[fm.locate(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))]
     order = np.argsort(place)
     place, phrase = place[order], phrase[order]
     # four phrases within reach, whatever their item
@@ -245,61 +329,55 @@ def _search_shard(items: Items, docs: list[tuple[int, str]], words: list[np.ndar
         d, k = int(doc[a]), int(item[a])
         if len(np.unique(place[a:b])) < 4:
             continue
-        base, wd, wi = int(start[d]), words[d], items.words[k]
-        left = max(0, int(place[a]) - base - len(wi))
-        right = min(len(wd), int(place[b - 1]) - base + len(wi) + SEED)
-        step = len(wi) + SEED
-        # long stretches of repeated text are looked at window by window
-        for at in range(left, max(left + 1, right - 2 * step), step):
-            if (got := passage(wi, wd[at : min(right, at + 3 * step)].tolist())) is not None:
-                yield d, k, at + got[0], at + got[1]
+        base, wd, wi = int(start[d]), words[d], items.words[k].tolist()
+        left = max(0, int(place[a]) - base - 2 * len(wi))
+        part = wd[left : int(place[b - 1]) - base + 2 * len(wi) + SEED].tolist()
+        for lo, hi in set(passages(wi, part, list(zip(pos[a:b].tolist(), (place[a:b] - base - left).tolist())))):
+            yield d, k, left + lo, left + hi
 
 
 def leaked_passages(corpus: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """``doc_id, item_id, span_start, span_end``: the places (characters) of documents that hold a test item."""
+    spark = corpus.sparkSession
     tests = items.select(F.col(item_key).cast("bigint").alias("item_id"), F.col(text).alias("text")).where("text is not null")
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-chars // ITEM_CHARS)
-    out = None
-    for k in range(max(1, parts)):
-        group = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, parts))) == k).orderBy("item_id", "text")
-        found = _leaks(corpus, [tuple(r) for r in group.collect()], doc_key, text)  # ITEM_CHARS bounds it
-        out = found if out is None else out.union(found)
-    return out.withColumnRenamed("doc_id", doc_key).withColumnRenamed("item_id", item_key)
-
-
-def _leaks(corpus: DataFrame, rows: list[tuple[int, str]], doc_key: str, text: str) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(Items(rows))
+    parts = max(1, -(-chars // ITEM_CHARS))
+    words, groups = Words(), []
+    for k in range(parts):
+        rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()  # about ITEM_CHARS characters
+        groups.append(spark.sparkContext.broadcast(Items([r[0] for r in rows], [words.write(r[1]) for r in rows])))
+        if words.sigma > MOST_WORDS:
+            raise ValueError("the test items have too many different words for one vocabulary; search them in parts")
+    shared = spark.sparkContext.broadcast(words)
+    schema = "doc_id bigint, item_id bigint, span_start bigint, span_end bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        number = items.number.get
+        known = shared.value
 
-        def flush(docs: list, words: list) -> pa.RecordBatch:
-            found = []
-            if docs and len(items.phrases):
-                for d, k, a, b in _search_shard(items, docs, words):
+        def flush(docs: list, words: list) -> Iterator[pa.RecordBatch]:
+            index = shard_index(words, known.sigma)
+            for group in groups:
+                items, found = group.value, []
+                for d, k, a, b in _search_shard(items, index, words):
                     places = word_places(docs[d][1])
-                    b = min(b, len(places))
-                    a = min(a, b - 1)
                     found.append((docs[d][0], items.ids[k], places[a][0], places[b - 1][1]))
-            cols = list(zip(*found)) if found else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "span_start", "span_end"])
+                cols = list(zip(*found)) if found else [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "span_start", "span_end"])
 
         docs, words, held = [], [], 0
         for b in batches:
             for key, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                w = np.array([number(x, 0) for x in WORD.findall(normal(t))], np.int32)
                 docs.append((key, t))
-                words.append(w)
-                held += len(w)
+                words.append(known.read(t))
+                held += len(words[-1])
                 if held >= SHARD_WORDS:
-                    yield flush(docs, words)
+                    yield from flush(docs, words)
                     docs, words, held = [], [], 0
-        yield flush(docs, words)
+        if docs:
+            yield from flush(docs, words)
 
     src = corpus.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    return src.mapInArrow(run, "doc_id bigint, item_id bigint, span_start bigint, span_end bigint")
+    return src.mapInArrow(run, schema).withColumnRenamed("doc_id", doc_key).withColumnRenamed("item_id", item_key)
 
 
 def removal_spans(leaks: DataFrame) -> DataFrame:
