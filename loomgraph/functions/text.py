@@ -86,15 +86,15 @@ def lenient_json(c: Column | str) -> Column:
     return F.coalesce(*good, F.parse_json(F.lit("{}")))
 
 
-#: Openings that a model puts before a reworded question (fixed values).
-REWORDED_PREFIXES = ("reformulated query:", "reformulated question:", "query:", "question:", "rewritten query:", "answer:")
+#: Openings that a model puts before a reworded question, in the order of their removal (fixed values).
+REWORDED_PREFIXES = ("Reformulated Query:", "Reformulated query:", "Query:", "query:", "Output:", "output:")
 
 
 def strip_reworded_prefix(c: Column | str) -> Column:
-    """The question without such openings, each removed once in order."""
+    """The question without such openings, each removed once in order (case counts)."""
     out = F.trim(lit_or_col(c))
     for p in REWORDED_PREFIXES:
-        out = F.trim(F.regexp_replace(out, f"(?i)^{p}\\s*", ""))
+        out = F.when(out.startswith(p), F.trim(F.substring(out, F.lit(len(p) + 1), F.length(out)))).otherwise(out)
     return out
 
 
@@ -134,3 +134,44 @@ def capitalised(c: Column | str, most: int | None = 35) -> Column:
     """Rule entities: distinct ``[A-Z][a-z]+`` of four letters or more, in order of first place."""
     found = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(lit_or_col(c), F.lit("")), F.lit("[A-Z][a-z]+"), F.lit(0)), lambda x: F.length(x) >= 4))
     return F.slice(found, 1, most) if most else found
+
+
+def unified_extraction(c: Column | str) -> Column:
+    """A reply ``{"Output": [{semantic_unit, entities, relationships}]}`` as struct(units, entities, triples, success).
+
+    Units that lack a key are left out; entities are upper-cased, trimmed, distinct and sorted;
+    relationships of under three parts give none. Without a list ``Output`` nothing is read.
+    """
+    item = "struct<semantic_unit:string,entities:array<string>,relationships:array<string>>"
+    out = F.from_json(lit_or_col(c), f"struct<Output:array<{item}>>")["Output"]
+    whole = F.filter(out, lambda u: u["semantic_unit"].isNotNull() & u["entities"].isNotNull() & u["relationships"].isNotNull())
+    units = F.transform(whole, lambda u: u["semantic_unit"])
+    entities = F.array_sort(F.array_distinct(F.flatten(F.transform(whole, lambda u: F.transform(F.array_compact(u["entities"]), lambda e: F.trim(F.upper(e)))))))
+    triples = F.array_compact(F.flatten(F.transform(whole, lambda u: F.transform(u["relationships"], relation_parse))))
+    none = F.array().cast("array<string>")
+    ok = out.isNotNull() & (F.size(out) > 0)
+    no_triples = F.array().cast("array<struct<source:string,relation:string,target:string>>")
+    return F.struct(F.when(ok, units).otherwise(none).alias("units"), F.when(ok, entities).otherwise(none).alias("entities"), F.when(ok, triples).otherwise(no_triples).alias("triples"), ok.alias("success"))
+
+
+def repaired_triple(parts: Column, reply: Column | None = None) -> Column:
+    """A malformed triple (list of strings) as struct(source, relation, target).
+
+    From a model's JSON reply with ``source, relationship, target`` where one is given, and
+    by rule otherwise: blank parts are dropped, the ends are upper-cased, what is between
+    them is the relation. Fewer than three parts leave empty strings.
+    """
+    kept = F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    n = F.size(kept)
+    rule = F.struct(F.when(n >= 1, F.upper(F.get(kept, F.lit(0)))).otherwise("").alias("source"), F.when(n >= 3, F.array_join(F.slice(kept, F.lit(2), F.greatest(n - 2, F.lit(0))), " ")).otherwise("").alias("relation"), F.when(n >= 2, F.upper(F.element_at(kept, -1))).otherwise("").alias("target"))
+    if reply is None:
+        return F.when(n >= 1, rule).otherwise(F.struct(F.lit("").alias("source"), F.lit("").alias("relation"), F.lit("").alias("target")))
+    j = F.from_json(reply, "struct<source:string,relationship:string,target:string>")
+    said = F.struct(F.upper(F.coalesce(j["source"], F.lit(""))).alias("source"), F.coalesce(j["relationship"], F.lit("")).alias("relation"), F.upper(F.coalesce(j["target"], F.lit(""))).alias("target"))
+    return F.when(j["source"].isNotNull() | j["target"].isNotNull(), said).otherwise(repaired_triple(parts))
+
+
+def usage(query: Column, reply: Column) -> Column:
+    """Words of question and reply as prompt, completion and total tokens."""
+    p, c = word_count(query), word_count(reply)
+    return F.struct(p.alias("prompt_tokens"), c.alias("completion_tokens"), (p + c).alias("total_tokens"))

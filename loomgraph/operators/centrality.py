@@ -3,10 +3,10 @@
 Core numbers: repeated h-index of the neighbours' values, from counts by value, so a hub's
 neighbours are never gathered.  Betweenness: exact; while the edges are few enough to be
 sent to executors (checked), sources are spread over tasks that each hold the adjacency;
-beyond that, blocks of sources advance level by level as joins.  Communities: local moving
-by modularity, then contraction, repeated; graphs of a checked size in one task, larger
-ones as joins in which one part of the nodes moves at a time.  Both stop by one rule, but
-as they move nodes in another order, they may give other communities of like modularity.
+beyond that, blocks of sources advance level by level as joins; a sampled estimate with its
+error stands beside it.  Communities: local moving by modularity in turns, then contraction,
+repeated until nothing gains; graphs of a checked size on arrays in one task, larger ones as
+joins, by one rule and with one result.
 
 Defined results: self loops and repeated pairs are ignored, isolated nodes have core 0,
 betweenness 0 and their own community; equal gains go to the least community id.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..runtime import cut, shuffle_partitions
 from .graph import both_ways
@@ -40,7 +40,7 @@ def core_numbers(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = No
         tally = seen.groupBy("src", F.least("c", "core").alias("value")).agg(F.count("*").alias("n"))
         at_least = F.sum("n").over(W.partitionBy("src").orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, 0))
         h = tally.withColumn("m", F.least("value", at_least)).groupBy("src").agg(F.max("m").alias("core"))
-        new = cut(h.withColumnRenamed("src", "id"))
+        new = cut(h.withColumnRenamed("src", "id"), fresh=True)
         changed = new.join(cur.withColumnRenamed("core", "old"), "id").where("core != old").limit(1).count()
         cur, rounds = new, rounds + 1
     return nodes.select("id").join(cur, "id", "left").na.fill(0, ["core"])
@@ -79,7 +79,30 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalised: bool = True) ->
     return nodes.select("id").join(raw, "id", "left").select("id", (F.coalesce("raw", F.lit(0.0)) / 2 * scale).alias("betweenness"))
 
 
-def _betweenness_sent(spark, adj: DataFrame) -> DataFrame:  # noqa: ANN001
+def betweenness_sampled(nodes: DataFrame, edges: DataFrame, most_sources: int = 1_000, normalised: bool = True) -> DataFrame:
+    """``id, betweenness, error``: estimated from about ``most_sources`` sources chosen by hash.
+
+    ``error`` is the standard error of the mean of a source's part, so small samples say so;
+    with as many sources as nodes the value is exact and the error 0.
+    """
+    adj = cut(both_ways(edges))
+    n = nodes.count()
+    ids = adj.select(F.col("src").alias("id")).distinct()
+    total = ids.count()
+    share = min(1.0, most_sources / total) if total else 1.0
+    picked = cut(ids.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_000)) < int(share * 1_000_000))) if share < 1 else cut(ids)
+    s = picked.count()
+    if not s:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("error"))
+    raw = _betweenness_sent(nodes.sparkSession, adj, picked) if adj.count() <= SEND_EDGES else _betweenness_joined(adj, sources=picked)
+    scale = (2.0 / ((n - 1) * (n - 2)) if normalised and n > 2 else 1.0) / 2 * total / s
+    mean = F.col("raw") / s
+    spread = F.sqrt(F.greatest(F.col("square") / s - mean * mean, F.lit(0.0)) * (1 - s / total) / s) * total
+    out = nodes.select("id").join(raw, "id", "left").na.fill(0.0, ["raw", "square"])
+    return out.select("id", (F.col("raw") * scale).alias("betweenness"), (spread * scale * s / total).alias("error"))
+
+
+def _betweenness_sent(spark, adj: DataFrame, chosen: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
     rows = adj.toPandas()
     ids = np.array(sorted(set(rows["src"])), dtype=object)
     number = {v: i for i, v in enumerate(ids)}
@@ -90,22 +113,30 @@ def _betweenness_sent(spark, adj: DataFrame) -> DataFrame:  # noqa: ANN001
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start, to = shared.value
-        out = np.zeros(len(start) - 1)
+        out, square = np.zeros(len(start) - 1), np.zeros(len(start) - 1)
         for b in batches:
             for s in b["id"]:
-                _brandes(int(s), start, to, out)
+                part = np.zeros(len(start) - 1)
+                _brandes(int(s), start, to, part)
+                out += part
+                square += part * part
         hit = np.flatnonzero(out)
-        yield pd.DataFrame({"node": hit, "part": out[hit]})
+        yield pd.DataFrame({"node": hit, "part": out[hit], "square": square[hit]})
 
     names = spark.createDataFrame(pd.DataFrame({"node": np.arange(len(ids)), "id": ids.astype(str)}), "node bigint, id string")
-    sources = spark.range(0, len(ids), 1, max(1, min(len(ids), 4 * shuffle_partitions(spark))))
-    parts = sources.mapInPandas(run, "node bigint, part double").groupBy("node").agg(F.sum("part").alias("raw"))
-    return parts.join(names, "node").select("id", "raw")
+    spread = max(1, min(len(ids), 4 * shuffle_partitions(spark)))
+    if chosen is None:
+        sources = spark.range(0, len(ids), 1, spread)
+    else:
+        sources = names.join(chosen, "id").select(F.col("node").alias("id")).repartition(spread)
+    parts = sources.mapInPandas(run, "node bigint, part double, square double").groupBy("node").agg(F.sum("part").alias("raw"), F.sum("square").alias("square"))
+    return parts.join(names, "node").select("id", "raw", "square")
 
 
-def _betweenness_joined(adj: DataFrame, block: int = 64) -> DataFrame:
+def _betweenness_joined(adj: DataFrame, block: int = 64, sources: DataFrame | None = None) -> DataFrame:
     """Level-synchronous: forward counts of shortest paths, then dependencies backwards, for blocks of sources."""
-    ids = cut(adj.select(F.col("src").alias("id")).distinct().withColumn("b", F.pmod(F.xxhash64("id"), F.lit(block))))
+    every = adj.select(F.col("src").alias("id")).distinct() if sources is None else sources
+    ids = cut(every.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(block))))
     total = None
     for k in range(block):
         seen = cut(ids.where(F.col("b") == k).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
@@ -123,8 +154,8 @@ def _betweenness_joined(adj: DataFrame, block: int = 64) -> DataFrame:
             up = below.join(adj, below["v"] == adj["src"]).select("s", F.col("dst").alias("v"), "f").groupBy("s", "v").agg(F.sum("f").alias("f"))
             delta = cut(seen.where(F.col("d") == d - 1).join(up, ["s", "v"]).select("s", "v", (F.col("sigma") * F.col("f")).alias("delta")))
             done = done.unionByName(delta)
-        part = done.where("s != v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("raw"))
-        total = cut(part if total is None else total.unionByName(part).groupBy("id").agg(F.sum("raw").alias("raw")))
+        part = done.where("s != v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("raw"), F.sum(F.col("delta") * F.col("delta")).alias("square"))
+        total = cut(part if total is None else total.unionByName(part).groupBy("id").agg(F.sum("raw").alias("raw"), F.sum("square").alias("square")))
     return total
 
 
@@ -145,97 +176,116 @@ def important_entities(nodes: DataFrame, scores: DataFrame, fraction: float = 0.
     return e.orderBy(F.desc("importance"), "seq", "id").limit(max(1, int(n * fraction)) if n else 0)
 
 
-def _local_moving(adj: list[dict[int, float]], resolution: float) -> list[int]:
-    """Louvain on one machine: nodes in order, ties to the least community; labels are least members."""
-    label = list(range(len(adj)))
-    graph = adj
+def _parts(r: int) -> int:
+    """In how many turns the nodes of a pass move: two at first, more while a level does not settle."""
+    return 2 << r // 8
+
+
+#: Turns are drawn anew each pass from a node's number and a power of a primitive root (fixed values).
+PRIME, ROOT = 2**31 - 1, 48_271
+
+
+def _factor(r: int) -> int:
+    return pow(ROOT, r + 1, PRIME)
+
+
+def _local_moving(ids: np.ndarray, mark: np.ndarray, src: np.ndarray, dst: np.ndarray, resolution: float, most_passes: int) -> np.ndarray:
+    """The least member of each node's community. The rule of ``communities`` on arrays; ``ids`` are sorted, ends are their numbers."""
+    w = np.ones(len(src))
+    two_m, member = float(len(src)), np.arange(len(ids))
     while True:
-        k = [sum(a.values()) for a in graph]
-        two_m = sum(k)
-        com, tot, moved_any, moving = list(range(len(graph))), k[:], False, two_m > 0
-        while moving:
-            moving = False
-            for v in range(len(graph)):
-                old = com[v]
-                tot[old] -= k[v]
-                kin: dict[int, float] = {old: 0.0}
-                for u, w in graph[v].items():
-                    if u != v:
-                        kin[com[u]] = kin.get(com[u], 0.0) + w
-                gain = lambda c: kin[c] - resolution * k[v] * tot[c] / two_m  # noqa: B023, E731
-                here = gain(old)
-                best = min(kin, key=lambda c: (-round(gain(c), 9), c))
-                com[v] = best if gain(best) > here + 1e-9 else old
-                tot[com[v]] += k[v]
-                if com[v] != old:
-                    moving = moved_any = True
-        if not moved_any:
-            return label
-        first: dict[int, int] = {}
-        for v, c in enumerate(com):
-            first.setdefault(c, len(first))
-        merged: list[dict[int, float]] = [{} for _ in first]
-        for v, a in enumerate(graph):
-            row = merged[first[com[v]]]
-            for u, w in a.items():
-                row[first[com[u]]] = row.get(first[com[u]], 0.0) + w
-        label = [first[com[x]] for x in label]
-        graph = merged
-
-
-def _communities_in_task(adj: DataFrame, resolution: float) -> DataFrame:
+        k = np.bincount(src, w, len(ids))
+        here = np.unique(src)
+        com = np.arange(len(ids))
+        for r in range(most_passes):
+            moved = 0
+            for part in range(_parts(r)):
+                total = np.bincount(com[here], k[here], len(ids))
+                off = src != dst
+                v, c, kin = np.r_[src[off], here], np.r_[com[dst[off]], com[here]], np.r_[w[off], np.zeros(len(here))]
+                pair, at = np.unique(v * len(ids) + c, return_inverse=True)
+                kin = np.bincount(at, kin)
+                v, c = pair // len(ids), pair % len(ids)
+                rest = total[c] - np.where(c == com[v], k[v], 0.0)
+                gain = np.floor((kin - resolution * k[v] * rest / two_m) * 1e9 + 0.5)
+                order = np.lexsort((c, -gain, v))
+                first = order[np.r_[True, v[order][1:] != v[order][:-1]]]
+                now = np.zeros(len(ids))
+                own = c == com[v]
+                now[v[own]] = gain[own]
+                x = v[first]
+                go = (gain[first] > now[x]) & (mark[x] * _factor(r) % PRIME // 8 % _parts(r) == part)
+                com[x[go]] = c[first][go]
+                moved += int(go.sum())
+            if not moved:
+                break
+        else:
+            raise RuntimeError("communities did not settle")
+        least = np.full(len(ids), len(ids))
+        np.minimum.at(least, com[here], here)
+        label = np.arange(len(ids))
+        label[here] = least[com[here]]
+        if (label == np.arange(len(ids))).all():
+            return member
+        member = label[member]
+        pair, at = np.unique(label[src] * len(ids) + label[dst], return_inverse=True)
+        w, src, dst = np.bincount(at, w), pair // len(ids), pair % len(ids)
+
+
+def _communities_in_task(graph: DataFrame, resolution: float, most_passes: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = pd.concat(list(batches), ignore_index=True)
-        ids = sorted(set(e["src"]))
-        number = {v: i for i, v in enumerate(ids)}
-        rows: list[dict[int, float]] = [{} for _ in ids]
-        for a, b in sorted(zip(e["src"].map(number), e["dst"].map(number))):
-            rows[a][b] = 1.0
-        label = _local_moving(rows, resolution)
-        least: dict[int, str] = {}
-        for v, c in enumerate(label):
-            least.setdefault(c, ids[v])
-        yield pd.DataFrame({"id": ids, "c2": [least[c] for c in label]})
+        if e.empty:
+            return
+        ids, first, at = np.unique(np.concatenate([e["src"], e["dst"]]).astype(object), return_index=True, return_inverse=True)
+        mark = np.concatenate([e["ms"], e["md"]])[first]
+        label = _local_moving(ids, mark, at[: len(e)], at[len(e) :], resolution, most_passes)
+        yield pd.DataFrame({"id": ids, "c2": ids[label]})
+
+    return graph.select("src", "dst", _mark("src").alias("ms"), _mark("dst").alias("md")).coalesce(1).mapInPandas(run, "id string, c2 string")
 
-    return adj.coalesce(1).mapInPandas(run, "id string, c2 string")
+
+def _mark(c: str) -> Column:
+    """A number that gives a node its turn, at every level that of its label."""
+    return F.pmod(F.xxhash64(c), F.lit(PRIME))
 
 
 def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, send_edges: int = SEND_EDGES, most_passes: int = 64) -> DataFrame:
     """``id, community``: modularity communities; the label is the least node id inside.
 
-    Either form goes on until no node of any level gains by moving; as joins, one part of
-    the nodes moves at a time, and parts become smaller while a level does not settle.
+    Nodes move in turns to the neighbouring community of largest gain (ties: least label)
+    until no node of any level gains; parts of a pass become smaller while a level does
+    not settle.  Graphs of at most ``send_edges`` directed edges do this on arrays in one
+    task, larger ones as joins: the rule and so the result is the same.
     """
-    e = both_ways(edges).select("src", "dst", F.lit(1.0).alias("w"))
-    graph = cut(e)
+    graph = cut(both_ways(edges).select("src", "dst", F.lit(1.0).alias("w")))
     m = graph.count()
     if 0 < m <= send_edges:
-        small = _communities_in_task(graph.select("src", "dst"), resolution)
+        small = _communities_in_task(graph, resolution, most_passes)
         return nodes.select("id").join(small, "id", "left").select("id", F.coalesce("c2", "id").alias("community"))
-    two_m = graph.agg(F.sum("w")).first()[0]
     member = nodes.select("id", F.col("id").alias("c"))
-    if not two_m:
+    if not m:
         return member.withColumnRenamed("c", "community")
-    merged = True
-    while merged:
+    two_m = float(m)
+    while True:
         strength = graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k"))
-        own = cut(strength.select("v", F.col("v").alias("c"), "k"))
+        own = cut(strength.select("v", F.col("v").alias("c"), "k"), fresh=True)
         for r in range(most_passes):
-            parts, n_moved = 2 << r // 8, 0
-            for k in range(parts):
+            parts, n_moved = _parts(r), 0
+            for part in range(parts):
                 total = own.groupBy("c").agg(F.sum("k").alias("tot"))
                 link = graph.where("src != dst").join(own.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v"), "c").agg(F.sum("w").alias("kin"))
                 here = own.select("v", F.col("c").alias("old"), "k")
                 cand = link.unionByName(own.select("v", "c", F.lit(0.0).alias("kin"))).groupBy("v", "c").agg(F.sum("kin").alias("kin"))
                 cand = cand.join(here, "v").join(total, "c")
-                rest = F.col("tot") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(F.lit(0.0))
-                gain = F.col("kin") - F.lit(resolution) * F.col("k") * rest / two_m
-                pick = cand.groupBy("v").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (F.col("c") == F.col("old")).alias("stay"))).alias("top"), F.max(F.when(F.col("c") == F.col("old"), F.round(gain, 9))).alias("now"))
-                best = cand.withColumn("g", F.round(gain, 9)).join(pick, "v").where("g = top.g").groupBy("v").agg(F.min("c").alias("new"), F.first("now").alias("now"), F.max("g").alias("g"))
-                # a part of the nodes moves at a time, so neighbours do not swap for ever
-                turn = F.pmod(F.xxhash64("v", F.lit(r)), F.lit(parts)) == k
-                moved = own.join(best, "v", "left").select("v", F.when(turn & (F.col("g") > F.col("now") + 1e-9), F.col("new")).otherwise(F.col("c")).alias("c"), "k", (turn & (F.col("g") > F.col("now") + 1e-9)).alias("m"))
-                moved = cut(moved)
+                stays = F.col("c") == F.col("old")
+                rest = F.col("tot") - F.when(stays, F.col("k")).otherwise(F.lit(0.0))
+                gain = F.floor((F.col("kin") - F.lit(resolution) * F.col("k") * rest / F.lit(two_m)) * F.lit(1e9) + F.lit(0.5))
+                # the best is a maximum of pairs of gain and place from the end, so nothing is sorted
+                best = cand.withColumn("g", gain).groupBy("v").agg(F.min(F.struct((-F.col("g")).alias("g"), "c")).alias("top"), F.max(F.when(stays, F.col("g"))).alias("now"))
+                turn = F.expr(f"pmod(xxhash64(v), {PRIME}) * {_factor(r)} % {PRIME} div 8 % {parts} = {part}")
+                go = turn & (-F.col("top.g") > F.col("now"))
+                moved = cut(own.join(best, "v").select("v", F.when(go, F.col("top.c")).otherwise(F.col("c")).alias("c"), "k", go.alias("m")), fresh=True)
                 n_moved += moved.where("m").count()
                 own = moved.drop("m")
             if not n_moved:
@@ -244,13 +294,13 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sen
             raise RuntimeError("communities did not settle")
         label = own.select("v", "c")
         least = label.groupBy("c").agg(F.min("v").alias("l"))
-        label = cut(label.join(least, "c").select("v", F.col("l").alias("c2")))
-        merged = label.where("v != c2").limit(1).count()
-        member = member.join(label.withColumnRenamed("v", "c"), "c", "left").select("id", F.coalesce("c2", "c").alias("c"))
+        label = cut(label.join(least, "c").select("v", F.col("l").alias("c2")), fresh=True)
+        if not label.where("v != c2").limit(1).count():
+            break
+        member = cut(member.join(label.withColumnRenamed("v", "c"), "c", "left").select("id", F.coalesce("c2", "c").alias("c")), fresh=True)
         graph = graph.join(label.select(F.col("v").alias("src"), F.col("c2").alias("s")), "src").join(label.select(F.col("v").alias("dst"), F.col("c2").alias("d")), "dst")
-        graph = cut(graph.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")))
-    least = member.groupBy("c").agg(F.min("id").alias("community"))
-    return cut(member.join(least, "c").select("id", "community"))
+        graph = cut(graph.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), fresh=True)
+    return member.withColumnRenamed("c", "community")
 
 
 def modularity(edges: DataFrame, member: DataFrame, resolution: float = 1.0) -> float:

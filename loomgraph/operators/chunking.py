@@ -29,11 +29,17 @@ def chunk_words(docs: DataFrame, text: str = "text", size: int = 1536, overlap:
     keep = [c for c in docs.columns if c != text]
     w = docs.select(*keep, words(text).alias("_w")).withColumn("_n", F.size("_w")).where("_n > 0")
     total = (F.lit(1) + F.ceil(F.greatest(F.lit(0), F.col("_n") - size) / step)).cast("int")
-    w = w.withColumn("_total", total).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_total") - 1)))
-    part = F.slice("_w", F.col("_i") * step + 1, size)
-    before = F.slice("_w", F.lit(1), F.col("_i") * step)
-    start = F.when(F.col("_i") == 0, 0).otherwise(F.length(F.array_join(before, " ")))
-    out = w.select(*keep, F.col("_i").alias("chunk_index"), F.array_join(part, " ").alias("content"), start.cast("int").alias("start_char"), F.size(part).alias("token_count"), F.col("_total").alias("total_chunks"))
+    w = w.withColumn("_total", total)
+    # each window with its own words, and the characters that the step before it adds
+    window = lambda i: F.struct(
+        F.slice("_w", i * step + 1, size).alias("p"),
+        F.when(i == 0, F.lit(0)).otherwise(F.length(F.array_join(F.slice("_w", (i - 1) * step + 1, step), " ")) + F.when(i > 1, 1).otherwise(0)).alias("added"),
+    )
+    w = w.withColumn("_x", F.transform(F.sequence(F.lit(0), F.col("_total") - 1), window)).drop("_w")
+    adds = F.transform("_x", lambda x: x["added"])
+    starts = F.aggregate(adds, F.array().cast("array<int>"), lambda acc, a: F.concat(acc, F.array(a + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
+    w = w.select(*keep, "_total", F.posexplode(F.arrays_zip(F.transform("_x", lambda x: x["p"]).alias("p"), starts.alias("s"))).alias("_i", "_p"))
+    out = w.select(*keep, F.col("_i").alias("chunk_index"), F.array_join("_p.p", " ").alias("content"), F.col("_p.s").alias("start_char"), F.size("_p.p").alias("token_count"), F.col("_total").alias("total_chunks"))
     return out.withColumn("end_char", (F.col("start_char") + F.length("content")).cast("int"))
 
 

@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     cur = cut(edges.select("src", F.col("dst").cast(kind)).where("src != dst").distinct())
     last = None
     for _ in range(max_rounds):
-        cur = cut(_small_star(_large_star(cur)))
+        cur = cut(_small_star(_large_star(cur)), fresh=True)
         mark = cur.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if mark == last:
             break

@@ -52,14 +52,17 @@ def model_extract(chunks: DataFrame, key: str, content: str, make: Callable[[],
     return chunks.select(F.col(key).cast("string"), F.col(content)).mapInArrow(run, ddl)
 
 
-def chunk_graph(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def chunk_graph(extracted: DataFrame, by_org: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes ``id, type, content, file_id, org_id, seq``; edges ``source, target, relationship_type, weight, seq``).
 
     Wants ``file_id, org_id, chunk_index, content, units, entities, triples``; ``seq`` orders
     arrivals by file, chunk and item. Entities are one node each mention here; see ``merge_entities``.
     Triples resolve by name, regardless of case, within their chunk; if one end fails they are dropped.
+    With ``by_org`` ids carry the organisation, so files of two that share an id stay apart.
+    A chunk whose extraction failed (no units, entities, triples) keeps its text node; see ``failed_chunks``.
     """
-    base = extracted.withColumn("cid", F.concat_ws("_", F.col("file_id").cast("string"), F.col("chunk_index").cast("string")))
+    org = [F.col("org_id")] if by_org else []
+    base = extracted.withColumn("cid", F.concat_ws("_", *org, F.col("file_id").cast("string"), F.col("chunk_index").cast("string")))
     seq = F.concat_ws("|", F.lpad(F.col("file_id").cast("string"), 24, "0"), F.lpad(F.col("chunk_index").cast("string"), 9, "0"))
     keep = ["file_id", "org_id", "cid"]
 
@@ -88,6 +91,11 @@ def chunk_graph(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def failed_chunks(extracted: DataFrame) -> DataFrame:
+    """``file_id, chunk_index, error`` of the chunks whose extraction failed."""
+    return extracted.where(~F.coalesce("success", F.lit(True))).select("file_id", "chunk_index", "error")
+
+
 def canonical_entities(nodes: DataFrame) -> DataFrame:
     """``id, canonical_id`` for entity nodes: the first seen of the same lower-cased content (not trimmed).
 
@@ -117,9 +125,14 @@ def fold_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     Names join by ``; `` in order when they differ from all that was joined so far.
     """
     e = edges.where("source is not null and target is not null and source != target")
-    w = W.partitionBy("source", "target").orderBy(*order)
-    e = e.withColumn("_r", F.row_number().over(w))
-    first = e.where("_r = 1").select("source", "target", F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    names = e.where("relationship_type is not null").groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("_r", "relationship_type"))).alias("l"))
+    pair, when = ["source", "target"], F.struct(*order)
+    # one look at all pairs, aggregated before the shuffle: most have a single name and need no order
+    named = F.col("relationship_type").isNotNull()
+    one = e.groupBy(*pair).agg(F.min(F.struct(when.alias("o"), "weight")).alias("first"), F.min("relationship_type").alias("lo"), F.max("relationship_type").alias("hi"))
+    several = one.where("lo != hi").select(*pair)
+    rows = e.where(named).join(several, pair, "left_semi")
+    # of several names, a repeat of the one before adds nothing only while it is the first; so all are kept in order
+    names = rows.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct(when.alias("o"), "relationship_type"))).alias("l"))
     fold = F.aggregate("l", F.lit(None).cast("string"), lambda acc, x: F.when(acc.isNull(), x["relationship_type"]).when(acc == x["relationship_type"], acc).otherwise(F.concat(acc, F.lit("; "), x["relationship_type"])))
-    return first.join(names.select("source", "target", fold.alias("relationship_type")), ["source", "target"], "left")
+    out = one.join(names.select(*pair, fold.alias("many")), pair, "left")
+    return out.select(*pair, F.coalesce("first.weight", F.lit(1.0)).alias("weight"), F.coalesce("many", "lo").alias("relationship_type"))

@@ -7,8 +7,10 @@ there changes nothing; of repeated rows the latest wins (ties by id).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.text import index_key
+from .extract import fold_edges
 from .graph import induced
 
 
@@ -20,9 +22,14 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return picked.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in (*order, *rest)]).select(*df.columns)
 
 
-def upsert_embeddings(old: DataFrame, new: DataFrame, most_chars: int = 2000) -> DataFrame:
-    """Replace the (org, file) sets of the new rows; then one row a node, new before old; contents cut."""
+def upsert_embeddings(old: DataFrame, new: DataFrame, most_chars: int = 2000, ordinal: bool = False) -> DataFrame:
+    """Replace the (org, file) sets of the new rows; then one row a node, new before old; contents cut.
+
+    With ``ordinal`` the ``chunk_index`` of new rows is their place in the file's list (by id).
+    """
     cols = old.columns
+    if ordinal:
+        new = new.withColumn("chunk_index", (F.row_number().over(W.partitionBy("org_id", "file_id").orderBy("id")) - 1).cast("int"))
     touched = new.select("org_id", "file_id").distinct()
     kept = old.join(touched, ["org_id", "file_id"], "left_anti").select(*cols)
     rows = kept.withColumn("_b", F.lit(0)).unionByName(new.select(*cols).withColumn("_b", F.lit(1)))
@@ -55,6 +62,63 @@ def merge_file(nodes: DataFrame, new: DataFrame) -> DataFrame:
     return first.join(files, "_k", "left").select("m.id", "m.type", "m.content", "file_ids", "m.seq")
 
 
+def merge_counts(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """One row ``nodes_added, entities_merged``: what ``merge_file`` does with the new nodes (each entity name once)."""
+    known = nodes.where("type = 'N' and content is not null").select(index_key("content").alias("k")).distinct().withColumn("old", F.lit(True))
+    n = new.where("type = 'N'").withColumn("k", index_key(F.coalesce("content", "id"))).join(known, "k", "left")
+    names = n.agg(F.count("*").alias("all"), F.count_distinct(F.when(F.col("old").isNull(), F.col("k"))).alias("fresh"))
+    other = new.where("type != 'N'").select("id").distinct().join(nodes.select("id"), "id", "left_anti").agg(F.count("*").alias("rest"))
+    return names.join(other, F.lit(True)).select((F.col("fresh") + F.col("rest")).alias("nodes_added"), (F.col("all") - F.col("fresh")).alias("entities_merged"))
+
+
+def merge_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A stored graph with that of new files: entities of one organisation and lower-cased name become one node.
+
+    The node seen first keeps id, content and file; file lists unite; edges of merged nodes
+    move to the node kept and fold into those there, stored before new.
+    Wants ``id, type, content, file_ids, seq, org_id, file_id`` and ``source, target, relationship_type, weight``.
+    """
+    cols = ["id", "type", "content", "seq", "org_id", "file_id"]
+    shape = lambda d, k: d.select(*[F.col(c).cast("string").alias(c) for c in cols], "file_ids", F.lit(k).alias("_new"))
+    both = shape(nodes, 0).unionByName(shape(new_nodes, 1))
+    name = F.concat_ws("|", F.lit("N"), F.coalesce("org_id", F.lit("")), index_key("content"))
+    both = both.withColumn("_k", F.when((F.col("type") == "N") & F.col("content").isNotNull(), name).otherwise(F.concat(F.lit("I|"), "id")))
+    first = both.groupBy("_k").agg(F.min(F.struct("_new", "seq", "id", "type", "content", "org_id", "file_id")).alias("m"))
+    files = both.select("_k", F.explode("file_ids").alias("f")).groupBy("_k").agg(F.array_sort(F.collect_set("f")).alias("file_ids"))
+    out = first.join(files, "_k", "left").select(*[F.col(f"m.{c}").alias(c) for c in cols], "file_ids")
+    moved = both.join(first.select("_k", F.col("m.id").alias("kept")), "_k").where("id != kept").select("id", "kept").distinct()
+    e = edges.select("source", "target", "relationship_type", "weight", F.lit(0).alias("_new"), F.lit("").alias("seq"))
+    seq = F.col("seq").cast("string") if "seq" in new_edges.columns else F.lit("")
+    e = e.unionByName(new_edges.select("source", "target", "relationship_type", "weight", F.lit(1).alias("_new"), seq.alias("seq")))
+    for end in ("source", "target"):
+        e = e.join(moved.select(F.col("id").alias(end), "kept"), end, "left").withColumn(end, F.coalesce("kept", end)).drop("kept")
+    return out, fold_edges(e, ["_new", "seq", "relationship_type"])
+
+
+def merged_metadata(rows: DataFrame, key: str, order: str, column: str = "metadata") -> DataFrame:
+    """``key, values, lists``: JSON objects of rows that become one; a value met once stays, more become a list with repeats, by ``order``."""
+    items = rows.select(key, order, F.explode(F.from_json(column, "map<string,string>")).alias("_name", "_value"))
+    lists = items.groupBy(key, "_name").agg(F.array_sort(F.collect_list(F.struct(order, "_value"))).alias("l"))
+    values = F.transform("l", lambda x: x["_value"])
+    one = lists.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_name", values.alias("v"))))).alias("m"))
+    single, many = F.map_filter("m", lambda k, v: F.size(v) == 1), F.map_filter("m", lambda k, v: F.size(v) > 1)
+    return one.select(key, F.transform_values(single, lambda k, v: v[0]).alias("values"), many.alias("lists"))
+
+
+def update_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Nodes with ``type``, ``content`` and ``metadata`` replaced where ``changes`` (one row an id) names them and is not null; unknown ids change nothing."""
+    named = [c for c in ("type", "content", "metadata") if c in changes.columns]
+    c = changes.select("id", *[F.col(x).alias(f"_{x}") for x in named])
+    out = nodes.join(c, "id", "left")
+    return out.select(*[F.coalesce(f"_{x}", x).alias(x) if x in named else F.col(x) for x in nodes.columns])
+
+
+def store_rows(nodes: DataFrame, most_chars: int = 2000) -> DataFrame:
+    """Rows for the vector store from graph nodes: those with an embedding, content cut, metadata wrapped with the type."""
+    meta = F.to_json(F.struct(F.col("metadata").alias("node_metadata"), F.col("type").alias("node_type_value")))
+    return nodes.where("embedding is not null").select(F.col("id").alias("node_id"), F.col("type").alias("node_type"), F.substring("content", 1, most_chars).alias("content"), "embedding", meta.alias("graph_metadata"))
+
+
 def changed_documents(seen: DataFrame, current: DataFrame, key: str = "path") -> DataFrame:
     """``path, reason`` of what to process: new, failed before, or another hash, size or time."""
     s = seen.select(key, F.col("sha256").alias("h"), F.col("size").alias("z"), F.col("mtime").alias("t"), F.col("success").alias("ok"), F.lit(True).alias("known"))
@@ -88,6 +152,14 @@ def next_version(stats: DataFrame, org_id: str, file_id: str) -> DataFrame:
     return old.select(F.lit(org_id).alias("org_id"), (F.coalesce("v", F.lit(0)) + 1).alias("version"), files.alias("processed_files"))
 
 
+def next_versions(stats: DataFrame, files: DataFrame) -> DataFrame:
+    """``org_id, version, processed_files`` of every organisation that ``files`` (``org_id, file_id``) names: one version more, files united."""
+    old = stats.groupBy("org_id").agg(F.max("version").alias("v"), F.max_by("processed_files", "version").alias("p"))
+    new = files.groupBy("org_id").agg(F.array_sort(F.collect_set("file_id")).alias("f"))
+    out = new.join(old, "org_id", "left")
+    return out.select("org_id", (F.coalesce("v", F.lit(0)) + 1).cast("bigint").alias("version"), F.array_union(F.coalesce("p", F.array().cast("array<string>")), "f").alias("processed_files"))
+
+
 def processing_stats(state: DataFrame) -> DataFrame:
     """One row: counts by outcome (status in any case), nodes, mean time and success rate."""
     s = F.lower(F.trim("processing_status"))

@@ -1,8 +1,9 @@
 """Personalised PageRank by power iteration on DataFrames.
 
 The transition is the row-normalised (A + At) / 2.  In modified mode an isolated node
-passes its mass evenly to all other nodes: as one scalar a round, never as edges.
-Each round is one join on the source and one pre-aggregated sum by target.
+passes its mass evenly to all other nodes: as one scalar a round, never as edges, and the
+isolated nodes themselves follow a formula of two numbers.  Each round is one join on the
+source and one pre-aggregated sum by target; lineage is cut every few rounds.
 
 Defined results: seeds outside the graph are ignored; weights are normalised; without
 positive weight every node is a seed alike; an empty graph gives no rows.  In the
@@ -43,27 +44,30 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float
     linked = m.select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
     share = F.coalesce(F.col("w") / F.lit(total), F.lit(0.0)) if total else F.lit(1.0 / n)
     base = cut(ids.join(s, "id", "left").join(linked, "id", "left").select("id", share.alias("s"), F.coalesce("linked", F.lit(False)).alias("linked")))
-    v = base.select("id", F.col("s").alias("score"), "linked")
-    has_isolated = modified and base.where("not linked").limit(1).count() > 0
+    # an isolated node's score is a + b * s with the same a and b for all of them, so the walk runs over linked nodes only
+    n_lone, s_lone = base.where("not linked").agg(F.count("*"), F.coalesce(F.sum("s"), F.lit(0.0))).first()
+    core = cut(base.where("linked").select("id", "s"))
+    a, b = 0.0, 1.0
+    v, marked = core.select("id", F.col("s").alias("score")), (core.select("id", F.col("s").alias("old")), a, b)
     for k in range(max_iter):
+        spread = n_lone * a + b * s_lone if modified else 0.0  # the mass of isolated nodes
         moved = v.join(m, v["id"] == m["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("p")).alias("in"))
-        nxt = base.join(moved, "id", "left")
-        got = F.coalesce("in", F.lit(0.0))
-        if has_isolated:
-            lone = v.where("not linked").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lone"))
-            own = v.where("not linked").select("id", F.col("score").alias("own"))
-            nxt = nxt.join(own, "id", "left").join(F.broadcast(lone), F.lit(True))
-            got = got + ((F.col("lone") - F.coalesce("own", F.lit(0.0))) / (n - 1) if n > 1 else F.lit(0.0))
-        nxt = nxt.select("id", (got * alpha + F.col("s") * (1 - alpha)).alias("score"), "linked")
-        if (k + 1) % cut_every == 0 or has_isolated or k + 1 == max_iter:
-            nxt = cut(nxt)
-            if tol is not None:
-                d = nxt.join(v.select("id", F.col("score").alias("old")), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        per = spread / (n - 1) if n > 1 else 0.0
+        v = core.join(moved, "id", "left").select("id", ((F.coalesce("in", F.lit(0.0)) + F.lit(per)) * alpha + F.col("s") * (1 - alpha)).alias("score"))
+        lone = alpha / (n - 1) if modified and n > 1 else 0.0
+        a, b, before = lone * (spread - a), 1 - alpha - lone * b, (a, b)
+        if (k + 1) % cut_every == 0 or k + 1 == max_iter:
+            v = cut(v, fresh=True)
+            if tol is not None and k:
+                # the change over the rounds since the last look bounds that of the last one
+                d = v.join(marked[0], "id").agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("old"))), F.lit(0.0))).first()[0]
+                da, db = a - before[0], b - before[1]
+                d += base.where("not linked").agg(F.coalesce(F.sum(F.abs(F.lit(da) + F.lit(db) * F.col("s"))), F.lit(0.0))).first()[0] if n_lone else 0.0
+                marked = (v.select("id", F.col("score").alias("old")), a, b)
                 if d < tol:
-                    v = nxt
                     break
-        v = nxt
-    return v.select("id", "score")
+    rest = base.where("not linked").select("id", (F.lit(a) + F.lit(b) * F.col("s")).alias("score"))
+    return v.unionByName(rest)
 
 
 def top_nodes(scores: DataFrame, nodes: DataFrame, k: int) -> DataFrame:

@@ -11,20 +11,43 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import confidence
+from ..functions.text import REWORDED_PREFIXES, confidence, shorten
 from . import graph as G, ppr, vector_search as VS
 
 #: How many of each category a result lists.
 QUOTAS = {"N": 10, "R": 30, "HO": 10}
 
 
-def decompose(query: str, longest: int = 4) -> list[str]:
-    """Default decomposition: all runs of up to ``longest`` words, longest first (a model may replace it)."""
+def decompose(query: str) -> list[str]:
+    """Default decomposition: all runs of words, longest first, each once (a model may replace it)."""
     w = query.split()
-    out = [" ".join(w[i : i + n]) for n in range(min(longest, len(w)), 0, -1) for i in range(len(w) - n + 1)]
+    out = [" ".join(w[i : i + n]) for n in range(len(w), 0, -1) for i in range(len(w) - n + 1)]
     return list(dict.fromkeys(out))
 
 
+def reformulate(query: str, history: Sequence[dict[str, str]] | None, model: Callable[[str, str], str] | None = None) -> str:
+    """The question with what a conversation adds, by ``model(history, query)``; without history, model or success as it is.
+
+    The openings that ``functions.text.REWORDED_PREFIXES`` names are taken off, each once in order.
+    """
+    if not history or model is None:
+        return query
+    said = "\n\n".join(f"{m['role'].capitalize()}: {m['content']}" for m in history)
+    try:
+        out = model(said, query).strip()
+    except Exception:
+        return query
+    for p in REWORDED_PREFIXES:
+        if out.startswith(p):
+            out = out[len(p) :].strip()
+    return out
+
+
+def first_of_each(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """``key`` once each, in order of first place (``place`` holds it)."""
+    return rows.groupBy(key).agg(F.min(place).alias(place))
+
+
 def exact_matches(nodes: DataFrame, phrases: DataFrame) -> DataFrame:
     """``id`` of entities that a phrase names directly, or whose text holds it."""
     return G.entity_lookup(nodes, phrases).select("id").union(G.phrase_match(nodes, phrases).select("id")).distinct()
@@ -94,6 +117,39 @@ def sources(selected: DataFrame, nodes: DataFrame) -> DataFrame:
     return selected.select("id").join(nodes.select("id", F.explode("file_ids").alias("file_id")), "id").select("file_id").distinct()
 
 
+def with_expansions(selected: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The selection and what its entities and titles bring along, each node once."""
+    rank = F.lit(2**31 - 1).alias("rank")
+    more = expand_attributes(selected, edges, nodes).select("id", "type", F.lit("attribute").alias("origin"), rank, F.lit(True).alias("listed"))
+    more = more.unionByName(expand_titles(selected, edges, nodes).select("id", "type", F.lit("high_level").alias("origin"), rank, F.lit(True).alias("listed")))
+    return selected.unionByName(more.join(selected.select("id"), "id", "left_anti"))
+
+
+def respond(embeddings: DataFrame, query_vector: Sequence[float], org_id: str | None = None, k: int = 10, most_results: int = 10, most_contexts: int = 5, fallback: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """One row ``total_results, contexts_used, source, confidence, response, sources`` for a question's vector.
+
+    The nearest rows by Euclidean distance give sources; only if there are none, ``fallback``
+    (rows ``node_id, content, node_type``, in order of ``rank``) does.  Rows without content
+    count for nothing; the first contexts make the response; confidence is the mean of their
+    non-zero scores, at most 1.
+    """
+    found = VS.search_l2(embeddings, query_vector, k, org_id=org_id)
+    found = found.select("node_id", "content", "node_type", "score", F.row_number().over(W.orderBy("distance", "node_id")).alias("rank"))
+    name = "database"
+    if fallback is not None and not found.limit(1).count():
+        name = "memory"
+        found = fallback().select("node_id", "content", "node_type", F.lit(0.0).alias("score"), "rank")
+    first = found.where((F.col("rank") <= most_results) & (F.coalesce("content", F.lit("")) != ""))
+    source = F.struct("rank", "node_id", "node_type", shorten("content", 500, "").alias("text"), "content", "score")
+    row = first.agg(F.array_sort(F.collect_list(source)).alias("all"))  # at most most_results rows
+    used = F.slice("all", 1, most_contexts)
+    context = F.array_join(F.transform(used, lambda x: x["content"]), "\n\n")
+    return row.select(
+        F.size("all").alias("total_results"), F.size(used).alias("contexts_used"), F.lit(name).alias("source"), confidence(F.transform("all", lambda x: x["score"])).alias("confidence"),
+        F.when(F.size("all") > 0, context).otherwise("No relevant information found in the knowledge base.").alias("response"), F.transform(used, lambda x: F.struct(x["node_id"], x["node_type"], x["text"], x["score"])).alias("sources"),
+    )
+
+
 @dataclass
 class RetrievalResult:
     selected: DataFrame
@@ -103,8 +159,12 @@ class RetrievalResult:
     metrics: DataFrame
 
 
-def retrieve(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, query_vector: Sequence[float], phrases: Sequence[str], k: int = 10, threshold: float = 0.5, alpha: float = 0.85, max_iter: int = 20, tol: float | None = None, org_id: str | None = None, answer: Callable[[str], str] | None = None, on_error: str = "raise") -> RetrievalResult:
-    """The whole search: vector hits and entity matches seed a walk whose best nodes make the context."""
+def retrieve(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, query_vector: Sequence[float], phrases: Sequence[str], k: int = 10, threshold: float = 0.5, alpha: float = 0.85, max_iter: int = 20, tol: float | None = None, org_id: str | None = None, answer: Callable[[str], str] | None = None, on_error: str = "raise", expand: bool = True) -> RetrievalResult:
+    """The whole search: vector hits and entity matches seed a walk whose best nodes make the context.
+
+    With ``expand`` attributes of selected entities and one high-level node of each selected
+    title join the selection (origin ``attribute`` and ``high_level``, after the walk).
+    """
     spark = nodes.sparkSession
     k = k or 10
     try:
@@ -118,6 +178,7 @@ def retrieve(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, query_ve
     scores = ppr.pagerank(nodes, edges, seeds, alpha, max_iter, tol)
     ranked = ppr.top_nodes(scores, nodes, 2 * k)
     chosen = select_nodes(seeds, ranked, nodes)
+    chosen = with_expansions(chosen, edges, nodes) if expand else chosen
     metrics = chosen.groupBy("origin").agg(F.count("*").alias("n"))
     return RetrievalResult(chosen, scores, context(chosen, nodes, scores), sources(chosen, nodes), metrics)
 

@@ -25,15 +25,80 @@ def _filtered(df: DataFrame, org_id: str | None, file_ids: Sequence[str] | None,
     return df
 
 
-def search(df: DataFrame, query: Sequence[float], k: int = 10, space: str = "cosine", min_similarity: float | None = None, org_id: str | None = None, file_ids: Sequence[str] | None = None, types: Sequence[str] | None = None, key: str = "node_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest rows with ``distance`` (cosine, squared l2 or ip) and ``similarity`` = 1 - distance."""
-    if k <= 0:
+def search(df: DataFrame, query: Sequence[float], k: int | None = 10, space: str = "cosine", min_similarity: float | None = None, org_id: str | None = None, file_ids: Sequence[str] | None = None, types: Sequence[str] | None = None, key: str = "node_id", vector: str = "embedding") -> DataFrame:
+    """The k nearest rows (without k all that are similar enough) with ``distance`` (cosine, squared l2 or ip) and ``similarity`` = 1 - distance."""
+    if k is not None and k <= 0:
         raise ValueError("k must be positive")
     d = V.SPACES[space](F.col(vector), V.constant(query))
     out = _filtered(df, org_id, file_ids, types).where(F.size(vector) == len(query)).withColumn("distance", d).where("distance is not null and not isnan(distance)")
     if min_similarity is not None:
         out = out.where(F.lit(1.0) - F.col("distance") >= min_similarity)
-    return out.withColumn("similarity", 1 - F.col("distance")).orderBy("distance", key).limit(k)
+    out = out.withColumn("similarity", 1 - F.col("distance"))
+    return out if k is None else out.orderBy("distance", key).limit(k)
+
+
+#: Bits of a sketch (as so many longs), and how many candidates an approximate search looks at least and for each result.
+SKETCH_LONGS, LEAST_CANDIDATES, CANDIDATES = 4, 200, 20
+
+
+def _planes(width: int) -> list[list[float]]:
+    """Directions drawn once from a fixed seed, so sketches of all builds agree."""
+    import random
+
+    rng = random.Random(width)
+    return [[rng.gauss(0, 1) for _ in range(width)] for _ in range(64 * SKETCH_LONGS)]
+
+
+def sketched(df: DataFrame, width: int, vector: str = "embedding") -> DataFrame:
+    """``df`` with ``_sketch array<bigint>``: on which side of each direction a vector lies. Store it as the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        planes = np.array(_planes(width)).T
+        for b in batches:
+            column = b.column(vector)
+            good = np.array([v is not None and len(v) == width and None not in v for v in column.to_pylist()], bool)
+            bits = np.zeros((b.num_rows, planes.shape[1]), np.uint8)
+            if good.any():
+                bits[good] = np.array([v for v, g in zip(column.to_pylist(), good) if g]) @ planes > 0
+            longs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            sketch = pa.array([row if g else None for row, g in zip(longs.tolist(), good)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, sketch], [*b.schema.names, "_sketch"])
+
+    from pyspark.sql.types import ArrayType, LongType, StructType
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType().add("_sketch", ArrayType(LongType())).fields]))
+
+
+def search_approx(index: DataFrame, query: Sequence[float], k: int = 10, candidates: int | None = None, key: str = "node_id", vector: str = "embedding", **filters) -> DataFrame:  # noqa: ANN003
+    """As ``search`` by cosine, but only the rows whose sketches differ least from the query's are compared.
+
+    Sketches are compared in generated code on a few bytes a row; ``candidates`` (at least
+    200, and 20 for each result) sets recall against work.  A row without a sketch never ranks.
+    """
+    most = max(LEAST_CANDIDATES, CANDIDATES * k, candidates or 0)
+    bits = [sum(a * b for a, b in zip(p, query)) > 0 for p in _planes(len(query))]
+    own = [sum(1 << i for i, x in enumerate(bits[64 * n : 64 * n + 64]) if x) for n in range(SKETCH_LONGS)]
+    own = [x - (1 << 64) if x >> 63 else x for x in own]
+    differ = sum((F.bit_count(F.col("_sketch")[n].bitwiseXOR(F.lit(x))) for n, x in enumerate(own)), F.lit(0))
+    rows = _filtered(index, filters.get("org_id"), filters.get("file_ids"), filters.get("types")).where("_sketch is not null")
+    near = rows.withColumn("_d", differ).orderBy("_d", key).limit(most)
+    return search(near.drop("_d", "_sketch"), query, k, key=key, vector=vector)
+
+
+def by_id(df: DataFrame, ids: Sequence, key: str = "node_id") -> DataFrame:
+    """Rows (metadata and vector) of the given ids; unknown ids give none."""
+    return df.where(F.col(key).isin(*ids)) if len(ids) else df.limit(0)
+
+
+def rebuilt(index: DataFrame, new: DataFrame, width: int, capacity: int = 100_000, key: str = "node_id", vector: str = "embedding") -> DataFrame:
+    """An index of the new rows only, with the metadata that the old one has for their ids where the new row has none."""
+    fresh = add_vectors(new.limit(0), new, width, capacity, key, vector)
+    known = [c for c in index.columns if c in fresh.columns and c not in (key, vector)]
+    old = index.select(key, *[F.col(c).alias(f"_{c}") for c in known]).dropDuplicates([key])
+    out = fresh.join(old, key, "left")
+    return out.select(*[F.coalesce(c, f"_{c}").alias(c) if c in known else F.col(c) for c in fresh.columns])
 
 
 def search_l2(df: DataFrame, query: Sequence[float], k: int = 10, key: str = "node_id", vector: str = "embedding", **filters) -> DataFrame:  # noqa: ANN003
@@ -78,9 +143,13 @@ def add_vectors(index: DataFrame, new: DataFrame, width: int, capacity: int = 10
 
 
 def load_vectors(spark, path: str, width: int, vector: str = "embedding") -> DataFrame | None:  # noqa: ANN001
-    """The stored index, or None if its width differs."""
+    """The stored index; one of another width is removed, and None comes back."""
     df = spark.read.parquet(path)
-    return None if df.where(F.size(vector) != width).limit(1).count() else df
+    if not df.where(F.size(vector) != width).limit(1).count():
+        return df
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return None
 
 
 def index_stats(df: DataFrame, width: int, capacity: int = 100_000) -> DataFrame:
@@ -104,8 +173,13 @@ def similarity_graph(df: DataFrame, threshold: float, key: str = "node_id", vect
     return sim.where(F.col("weight") >= threshold)
 
 
-def hash_embedding(width: int) -> Callable[[list[str]], list[list[float]]]:
-    """The default embedder: signed feature hashing of words, deterministic and offline."""
+def hash_embedding(width: int, kind: str = "document") -> Callable[[list[str]], list[list[float]]]:
+    """The default embedder: signed feature hashing of words, deterministic and offline.
+
+    ``kind`` is what a model may tell apart, ``document`` or ``query``; here both give one vector.
+    """
+    if kind not in ("document", "query"):
+        raise ValueError(f"unknown kind {kind!r}")
     import xxhash
 
     def embed(texts: list[str]) -> list[list[float]]:

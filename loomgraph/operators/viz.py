@@ -15,9 +15,9 @@ from ..functions.text import shorten
 from . import graph as G
 
 MAX_NODES, SMALL, LARGE = 2000, 10, 50
-#: Colours of node types and of communities (fixed values of this package).
-TYPE_COLOURS = {"T": "#4e79a7", "S": "#f28e2b", "N": "#e15759", "R": "#76b7b2", "A": "#59a14f", "H": "#edc948", "O": "#b07aa1"}
-COMMUNITY_COLOURS = ["#1b9e77", "#d95f02", "#7570b3", "#e7298a", "#66a61e", "#e6ab02", "#a6761d", "#666666", "#1f78b4", "#b2df8a"]
+#: Colours of node types and of communities (fixed values).
+TYPE_COLOURS = {"T": "#FF6B6B", "S": "#4ECDC4", "N": "#45B7D1", "R": "#96CEB4", "A": "#FFEAA7", "H": "#DDA0DD", "O": "#FFB347"}
+COMMUNITY_COLOURS = ["#FF6B6B", "#4ECDC4", "#45B7D1", "#96CEB4", "#FFEAA7", "#DDA0DD", "#FFB347", "#98D8C8", "#F7DC6F", "#BB8FCE"]
 GREY = "#CCCCCC"
 
 
@@ -60,11 +60,12 @@ def viz_stats(nodes: DataFrame, edges: DataFrame, communities: DataFrame | None
     return out
 
 
-def connect(drawn: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) -> list[str]:
+def connect(drawn: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES, most_visited: int = 1_000_000) -> list[str]:
     """Ids to add so that minor components reach the largest: nodes on a shortest directed path to it.
 
     Works on a drawn selection (at most ``max_nodes``) with the edges by one breadth-first
-    frontier a step, so only frontiers leave the cluster.
+    frontier a step, so only frontiers leave the cluster; a search that would visit more
+    than ``most_visited`` nodes is an error, not a cut.
     """
     comp = G.components(drawn, G.induced(drawn, edges)).limit(max_nodes + 1).toPandas()
     if comp.empty:
@@ -77,7 +78,9 @@ def connect(drawn: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) -> l
         before = dict.fromkeys(part["id"], None)
         front = list(before)
         hit = None
-        while front and hit is None and len(before) <= 50 * max_nodes:
+        while front and hit is None:
+            if len(before) > most_visited:
+                raise RuntimeError("no path within the nodes that may be visited; raise most_visited")
             f = spark.createDataFrame([(x,) for x in front], "source string")
             step = edges.select("source", "target").join(F.broadcast(f), "source").orderBy("target", "source").collect()
             front = []
@@ -97,8 +100,10 @@ def connect(drawn: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) -> l
 
 def write_html(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """A page that lists and draws the (bounded) selection on a circle."""
-    n = [r.asDict() for r in nodes.limit(MAX_NODES).collect()]
-    e = [r.asDict() for r in edges.limit(50 * MAX_NODES).collect()]
+    n = [r.asDict() for r in nodes.limit(MAX_NODES + 1).collect()]
+    e = [r.asDict() for r in edges.limit(50 * MAX_NODES + 1).collect()]
+    if len(n) > MAX_NODES or len(e) > 50 * MAX_NODES:
+        raise ValueError("too much for one page; draw a selection")
     data = html.escape(json.dumps({"nodes": n, "edges": e}, default=str), quote=False)
     page = f"""<!doctype html><meta charset="utf-8"><title>graph</title><canvas id="c" width="1200" height="1200"></canvas>
 <script type="application/json" id="d">{data}</script><script>

@@ -59,8 +59,7 @@ def vec_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT node_id, id, round(c, 6) AS similarity FROM (SELECT node_id, id, {_COS} AS c FROM noderag_embeddings WHERE {_OK}) WHERE c >= 0.2")
 def vec_cosine_threshold(spark: SparkSession, d: str) -> DataFrame:
-    c = V.cosine_similarity(F.col("embedding"), V.constant(QUESTION))
-    return table(spark, d, "noderag_embeddings").where(F.size("embedding") == 64).select("node_id", "id", c.alias("similarity")).where("similarity >= 0.2").withColumn("similarity", F.round("similarity", 6))
+    return _rounded(VS.search(table(spark, d, "noderag_embeddings"), QUESTION, None, min_similarity=0.2).select("node_id", "id", "similarity"), "similarity")
 
 
 @query(f"SELECT vec_id, round(sqrt(s), 6) AS distance, round(1 - sqrt(s), 6) AS score FROM (SELECT vec_id, {_L2SQ} AS s FROM embeddings WHERE {_OK}) ORDER BY s, vec_id LIMIT 10")
@@ -135,11 +134,11 @@ def doc_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("file_hash"))
 
 
-@query("WITH c AS (SELECT file_id, chunk_index, content, chunk_key, length(content) AS n FROM document_chunks WHERE content IS NOT NULL AND content <> '') SELECT chunk_key, file_id, chunk_index, coalesce(sum(n) OVER (PARTITION BY file_id ORDER BY chunk_index, chunk_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_position FROM c")
+@query("WITH c AS (SELECT file_id, chunk_index, chunk_key, length(content) AS n, json_extract_string(metadata, '$.page') AS page FROM document_chunks WHERE content IS NOT NULL AND content <> '') SELECT chunk_key, file_id, chunk_index, coalesce(sum(n) OVER (PARTITION BY file_id ORDER BY chunk_index, chunk_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_position, coalesce(TRY_CAST(page AS INT), row_number() OVER (PARTITION BY file_id ORDER BY chunk_index, chunk_key))::INT AS page_number FROM c")
 def running_offsets(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "document_chunks").where("content is not null and content != ''").select("chunk_key", "file_id", "chunk_index", F.length("content").alias("n"))
-    w = W.partitionBy("file_id").orderBy("chunk_index", "chunk_key").rowsBetween(W.unboundedPreceding, -1)
-    return c.select("chunk_key", "file_id", "chunk_index", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("char_position"))
+    from ..sources.records import running_chunks
+
+    return running_chunks(table(spark, d, "document_chunks"), ["file_id"], ["chunk_index", "chunk_key"]).select("chunk_key", "file_id", "chunk_index", "char_position", "page_number")
 
 
 @query("SELECT chunk_key, len(string_split_regex(regexp_replace(content, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '[ \\t\\n\\r\\f]+'))::INT AS words, 0 AS start_char, length(content)::INT AS end_char FROM document_chunks WHERE content IS NOT NULL AND regexp_replace(content, '[ \\t\\n\\r\\f]+', '', 'g') <> ''")
@@ -178,35 +177,54 @@ def conversation_parse(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- extraction and merging
 
-_UNITS = "list_filter(string_split_regex(coalesce(text,''), '[.!?][ \\t\\n\\r\\f]+'), lambda x: regexp_replace(x, '[ \\t\\n\\r\\f]+', '', 'g') <> '')[1:10]"
+#: Documents cut into chunks of 200 words before extraction, so that its limits hold by chunk and no text is left out.
+_SIZE, _OVERLAP = 200, 20
+_CHUNKS = f"{_windows(_SIZE, _OVERLAP)}, ch AS (SELECT doc_id, i AS ci, array_to_string(w[i*{_SIZE - _OVERLAP}+1 : i*{_SIZE - _OVERLAP}+{_SIZE}], ' ') AS content FROM x)"
+_UNITS = "list_filter(string_split_regex(content, '[.!?][ \\t\\n\\r\\f]+'), lambda x: regexp_replace(x, '[ \\t\\n\\r\\f]+', '', 'g') <> '')[1:10]"
 _CAPS = "list_filter(regexp_extract_all({0}, '[A-Z][a-z]+'), lambda x: length(x) >= 4)"
 _DISTINCT = "list_transform(list_filter(list_transform(range(1, len({0})+1), lambda i: [i, list_position({0}, {0}[i])]), lambda z: z[1] = z[2]), lambda z: {0}[z[1]])"
-_ENT = f"f AS (SELECT doc_id, source, {_CAPS.format('coalesce(text,chr(32))')} AS a FROM documents), e AS (SELECT doc_id, source, ({_DISTINCT.format('a')})[1:35] AS ents FROM f), m AS (SELECT doc_id, source, unnest(ents) AS content, generate_subscripts(ents, 1) AS i FROM e)"
+_ENT = f"{_CHUNKS}, f AS (SELECT doc_id, ci, {_CAPS.format('content')} AS a FROM ch), e AS (SELECT doc_id, ci, ({_DISTINCT.format('a')})[1:35] AS ents FROM f), m AS (SELECT doc_id, ci, unnest(ents) AS content, generate_subscripts(ents, 1) AS i FROM e)"
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("org_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
-    return X.rule_extract(docs)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("org_id"), "text")
+    return X.rule_extract(chunking.chunk_words(docs, size=_SIZE, overlap=_OVERLAP))
+
 
+_SEEN = "lpad(doc_id::VARCHAR, 24, '0') || '|' || lpad(ci::VARCHAR, 9, '0') || '|' || lpad((i-1)::VARCHAR, 6, '0')"
 
-@query(f"WITH {_ENT} SELECT lower(content) AS name, min(lpad(doc_id::VARCHAR, 24, '0') || '|' || lpad((i-1)::VARCHAR, 6, '0')) AS first_seen, count(DISTINCT doc_id) AS n_files, count(*) AS mentions FROM m GROUP BY 1")
+
+@query(f"WITH {_ENT} SELECT lower(content) AS name, min({_SEEN}) AS first_seen, count(DISTINCT doc_id) AS n_files, count(*) AS mentions FROM m GROUP BY 1")
 def entity_dedup(spark: SparkSession, d: str) -> DataFrame:
-    n = _extracted(spark, d).select("file_id", F.posexplode("entities").alias("i", "content"))
-    seen = F.concat_ws("|", F.lpad(F.col("file_id").cast("string"), 24, "0"), F.lpad(F.col("i").cast("string"), 6, "0"))
+    n = _extracted(spark, d).select("file_id", "chunk_index", F.posexplode("entities").alias("i", "content"))
+    seen = F.concat_ws("|", F.lpad(F.col("file_id").cast("string"), 24, "0"), F.lpad(F.col("chunk_index").cast("string"), 9, "0"), F.lpad(F.col("i").cast("string"), 6, "0"))
     return n.groupBy(T.index_key("content").alias("name")).agg(F.min(seen).alias("first_seen"), F.count_distinct("file_id").alias("n_files"), F.count("*").alias("mentions"))
 
 
-@query(f"WITH u AS (SELECT doc_id, {_UNITS} AS us FROM documents), {_ENT}, p AS (SELECT doc_id, len(us) AS units FROM u) SELECT p.doc_id, units::INT AS units, coalesce(len(ents), 0)::INT AS entities FROM p JOIN e USING (doc_id)")
+@query(f"WITH {_ENT}, k AS (SELECT doc_id, 'N_' || doc_id || '_' || ci || '_' || (i-1) AS id, lower(content) AS name, {_SEEN} AS seen FROM m) SELECT id, first_value(id) OVER (PARTITION BY name ORDER BY seen) AS canonical_id FROM k")
+def mention_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention with the node that its name has in the merged graph."""
+    return X.canonical_entities(X.chunk_graph(_extracted(spark, d))[0])
+
+
+@query(f"WITH {_ENT}, u AS (SELECT doc_id, ci, len({_UNITS}) AS us FROM ch) SELECT u.doc_id, u.ci::INT AS chunk_index, us::INT AS units, coalesce(len(ents), 0)::INT AS entities FROM u JOIN e USING (doc_id, ci)")
 def extract_counts(spark: SparkSession, d: str) -> DataFrame:
     x = _extracted(spark, d)
-    return x.select(F.col("file_id").alias("doc_id"), F.size("units").alias("units"), F.size("entities").alias("entities"))
+    return x.select(F.col("file_id").alias("doc_id"), "chunk_index", F.size("units").alias("units"), F.size("entities").alias("entities"))
 
 
-@query()
+_TRIPLES = f"""{_ENT}, un AS (SELECT doc_id, ci, unnest(us) AS u, generate_subscripts(us, 1) AS k FROM (SELECT doc_id, ci, {_UNITS} AS us FROM ch)),
+  cu AS (SELECT doc_id, ci, k, {_CAPS.format('u')} AS a FROM un), du AS (SELECT doc_id, ci, k, {_DISTINCT.format('a')} AS d FROM cu),
+  pr AS (SELECT doc_id, ci, k, unnest(range(1, len(d))) AS j, d FROM du WHERE len(d) > 1),
+  t25 AS (SELECT doc_id, ci, lower(d[j]) AS s, lower(d[j + 1]) AS t, row_number() OVER (PARTITION BY doc_id, ci ORDER BY k, j) - 1 AS i FROM pr QUALIFY i < 25),
+  tr AS (SELECT t25.* FROM t25 JOIN e USING (doc_id, ci) WHERE list_contains(list_transform(ents, lambda x: lower(x)), s) AND list_contains(list_transform(ents, lambda x: lower(x)), t))"""
+
+
+@query(f"WITH {_TRIPLES} SELECT 'contains_semantic_unit' AS relationship_type, count(*) AS n FROM un UNION ALL SELECT 'mentions_entity', count(DISTINCT (doc_id, ci, lower(content))) FROM m UNION ALL SELECT 'involves_entity', count(DISTINCT (doc_id, ci, i, x)) FROM (SELECT doc_id, ci, i, unnest([s, t]) AS x FROM tr) UNION ALL SELECT 'FOLLOWED_BY', count(DISTINCT (s, t)) FROM tr WHERE s <> t")
 def document_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks to a merged graph, as edge counts by relation; checked against a plain-Python build in the tests."""
+    """Chunks to a merged graph, as edge counts by relation."""
     nodes, edges = X.chunk_graph(_extracted(spark, d))
-    nodes, edges = X.merge_entities(cut(nodes), cut(edges))
+    edges = X.merge_entities(cut(nodes), cut(edges))[1]
     return edges.groupBy("relationship_type").agg(F.count("*").alias("n"))
 
 
@@ -254,12 +272,12 @@ def neighbors(spark: SparkSession, d: str) -> DataFrame:
     return G.neighbours(nodes, edges, G.nodes_of_type(nodes, "t"))
 
 
-_PHRASES = "q AS (SELECT DISTINCT '  ' || content || ' ' AS query FROM graph_nodes WHERE upper(trim(type)) = 'N' AND seq % 7 = 0 AND content IS NOT NULL)"
+_PHRASES = "q AS (SELECT DISTINCT '  ' || content || ' ' AS query FROM graph_nodes WHERE upper(trim(type)) = 'N' AND content IS NOT NULL)"
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """Names as a user may type them, with blanks around."""
-    n = table(spark, d, "graph_nodes").where((F.upper(F.trim("type")) == "N") & (F.col("seq") % 7 == 0) & F.col("content").isNotNull())
+    n = table(spark, d, "graph_nodes").where((F.upper(F.trim("type")) == "N") & F.col("content").isNotNull())
     return n.select(F.concat(F.lit("  "), "content", F.lit(" ")).alias("query")).distinct()
 
 
@@ -351,7 +369,7 @@ def ppr_isolated(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ppr.pagerank(nodes, edges, seeds, max_iter=10, tol=None), "score", digits=8)
 
 
-@query()
+@query(f"WITH RECURSIVE {_BOTH}, r(it, id, core) AS (SELECT 0, a, count(*) FROM u GROUP BY a UNION ALL SELECT it, id, list_max(list_transform(range(1, len(l) + 1), lambda i: least(i, l[i]))) FROM (SELECT any_value(x.it) + 1 AS it, x.id, list(least(y.core, x.core) ORDER BY least(y.core, x.core) DESC) AS l FROM r x JOIN u ON u.a = x.id JOIN r y ON y.id = u.b WHERE x.it < 40 GROUP BY x.id)) SELECT id, coalesce(core, 0)::BIGINT AS core FROM n LEFT JOIN (SELECT id, core FROM r WHERE it = 40) USING (id)")
 def kcore(spark: SparkSession, d: str) -> DataFrame:
     return C.core_numbers(*_graph(spark, d))
 
@@ -394,8 +412,7 @@ _SEEDS = "SELECT coalesce(h.i, x.i) AS i, CASE WHEN x.i IS NOT NULL THEN 1.0 ELS
 
 def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     nodes, edges = _graph(spark, d)
-    e = table(spark, d, "noderag_embeddings")
-    hits = VS.search(e, QUESTION, 12, min_similarity=None).where("similarity >= 0.1")
+    hits = VS.search(table(spark, d, "noderag_embeddings"), QUESTION, 12, min_similarity=0.1)
     seeds = cut(R.personalization(hits, R.exact_matches(nodes, spark.createDataFrame([("Monday, 7 July",)], "query string"))))
     return nodes, edges, seeds, ppr.pagerank(nodes, edges, seeds, max_iter=10, tol=None)
 
@@ -407,19 +424,6 @@ def search_fused(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(scores, "score", digits=8).orderBy(F.desc("score"), "id").limit(60)
 
 
-@query()
-def search_category_quota(spark: SparkSession, d: str) -> DataFrame:
-    nodes, _, seeds, scores = _fused(spark, d)
-    return R.select_nodes(seeds, ppr.top_nodes(scores, nodes, 200), nodes)
-
-
-@query()
-def context_build(spark: SparkSession, d: str) -> DataFrame:
-    nodes, _, seeds, scores = _fused(spark, d)
-    scores = cut(scores)
-    return R.context(R.select_nodes(seeds, ppr.top_nodes(scores, nodes, 20), nodes), nodes, scores)
-
-
 @query("SELECT doc_id, least(1.0, CASE WHEN len(t) = 0 THEN 0 ELSE list_sum(t) / len(t) END) AS confidence FROM (SELECT doc_id, list_filter([doc_id % 3 / 2.0::DOUBLE, 0.0, doc_id % 7 / 4.0::DOUBLE, 0.25, NULL], lambda x: x <> 0) AS t FROM documents)")
 def confidence(spark: SparkSession, d: str) -> DataFrame:
     s = F.array(F.col("doc_id") % 3 / F.lit(2.0), F.lit(0.0), F.col("doc_id") % 7 / F.lit(4.0), F.lit(0.25), F.lit(None).cast("double"), F.lit(9.0))
@@ -520,6 +524,6 @@ def viz_edges(spark: SparkSession, d: str) -> DataFrame:
     return viz.viz_edges(drawn, edges)
 
 
-@query()
+@query(f"WITH RECURSIVE {_BOTH}, r(id, c) AS (SELECT id, id FROM n UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id), comp AS (SELECT count(DISTINCT c) AS k FROM (SELECT id, min(c) AS c FROM r GROUP BY id)), dg AS (SELECT a, count(*) AS d FROM u GROUP BY a), t AS (SELECT x.a, count(*) AS k FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY x.a), cl AS (SELECT avg(CASE WHEN d >= 2 THEN 2 * coalesce(k, 0) / (d * (d - 1))::DOUBLE ELSE 0 END) AS a FROM n LEFT JOIN dg ON dg.a = id LEFT JOIN t ON t.a = id) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM e) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1))::DOUBLE, 10) AS density, (SELECT k FROM comp) AS components, round((SELECT a FROM cl), 10) AS average_clustering")
 def viz_stats(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(viz.viz_stats(*_graph(spark, d)), "density", "average_clustering", digits=10)

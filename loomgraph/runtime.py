@@ -30,13 +30,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, fresh: bool = False) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The copy survives the loss of executors, unlike a local checkpoint.
+    The copy survives the loss of executors, unlike a local checkpoint.  A checkpoint keeps
+    what the optimiser had proved about its columns; in long loops that grows from round to
+    round until planning takes longer than the work, so they ask for a ``fresh`` copy that
+    knows its schema only.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    if not fresh:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False), spark)
+
+
+def complete_versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete versions ``v...`` of the table at ``path``, oldest first, on whatever file system the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory()]
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return sorted(n for n in names if n.startswith("v") and done(n))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -7,7 +7,6 @@ without activity; the batch form and the streaming form agree on what they emit.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.maintenance import latest
+from ..runtime import complete_versions
 
-PHASES = ("INIT", "DISCOVERY", "DECOMPOSITION", "AUGMENTATION", "EMBEDDING", "INDEXING", "VALIDATION", "COMPLETE", "ERROR")
+#: Phases of a run in order; INIT before the first, ERROR after a failure (fixed values).
+PHASES = ("INIT", "DOCUMENT_DISCOVERY", "DOCUMENT_PROCESSING", "GRAPH_AUGMENTATION", "EMBEDDING_GENERATION", "HNSW_INDEXING", "SEARCH_SYSTEM_UPDATE", "FINISHED", "ERROR")
 
 
 def sessions(events: DataFrame, user: str, ts: str, tie: str, hours: int = 24) -> DataFrame:
@@ -45,26 +46,29 @@ def chunk_stream(spark: SparkSession, folder: str, schema: str, files_per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
 
-def _versions(path: str) -> list[str]:
-    return sorted(x for x in os.listdir(path) if x.startswith("v")) if os.path.isdir(path) else []
-
-
 def upsert_table(spark: SparkSession, batch: DataFrame, path: str, keys: list[str], order: list[str], batch_id: int) -> None:
     """Write a new version of the table at ``path`` with the batch merged in; a batch seen before changes nothing.
 
     The version is named after the batch, and readers take the last complete one.
     """
     name = f"v{batch_id:012d}"
-    done = [v for v in _versions(path) if os.path.exists(os.path.join(path, v, "_SUCCESS"))]
+    done = complete_versions(spark, path)
     if name in done:
         return
-    rows = batch if not done else spark.read.parquet(os.path.join(path, done[-1])).unionByName(batch, allowMissingColumns=True)
-    latest(rows, keys, order).write.mode("overwrite").parquet(os.path.join(path, name))
+    rows = batch if not done else spark.read.parquet(f"{path}/{done[-1]}").unionByName(batch, allowMissingColumns=True)
+    latest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    done = [v for v in _versions(path) if os.path.exists(os.path.join(path, v, "_SUCCESS"))]
-    return spark.read.parquet(os.path.join(path, done[-1])) if done else None
+    done = complete_versions(spark, path)
+    return spark.read.parquet(f"{path}/{done[-1]}") if done else None
+
+
+def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write ``df`` as the next version of the table; readers take the last complete one."""
+    done = complete_versions(spark, path)
+    n = int(done[-1][1:]) + 1 if done else 0
+    df.write.mode("overwrite").parquet(f"{path}/v{n:012d}")
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], transform: Callable[[DataFrame], DataFrame] | None = None, once: bool = True) -> StreamingQuery:
@@ -108,7 +112,33 @@ def pipeline_state(phase: str, done: int, total: int) -> dict:
     """The row that a run stores between phases."""
     if phase not in PHASES:
         raise ValueError(f"unknown phase {phase!r}")
-    return {"phase": phase, "processed": done, "total": total, "resume": phase not in ("INIT", "COMPLETE", "ERROR"), "percent": done / max(1, total) * 100}
+    return {"phase": phase, "processed": done, "total": total, "resume": phase not in ("INIT", "FINISHED", "ERROR"), "percent": done / max(1, total) * 100}
+
+
+def run_pipeline(phases: dict[str, Callable[[], dict]], save: Callable[[dict], None], start: str = "INIT", on_error: Callable[[str, str], None] | None = None) -> dict:
+    """Run the phases in order, saving the state row after each; with ``start`` from the phase after it.
+
+    A phase that raises ends the run with state ERROR; phases without a function are passed over.
+    """
+    if start not in PHASES:
+        raise ValueError(f"unknown phase {start!r}")
+    todo = PHASES[PHASES.index(start) + 1 : -2] if start != "ERROR" else PHASES[1:-2]
+    results: dict = {}
+    for k, phase in enumerate(todo):
+        try:
+            results[phase] = phases[phase]() if phase in phases else {"skipped": True}
+        except Exception as e:
+            save(pipeline_state("ERROR", k, len(todo)))
+            if on_error:
+                on_error(phase, str(e))
+            return {"success": False, "error": str(e), "failed_phase": phase, "results": results}
+        save(pipeline_state(phase, k + 1, len(todo)))
+    save(pipeline_state("FINISHED", len(todo), len(todo)))
+    return {"success": True, "results": results}
+
+
+def can_resume(state: dict | None) -> bool:
+    return bool(state and state.get("resume"))
 
 
 def failed(state: DataFrame) -> DataFrame:
@@ -117,3 +147,21 @@ def failed(state: DataFrame) -> DataFrame:
 
 def reset_failed(state: DataFrame) -> DataFrame:
     return state.withColumn("processing_status", F.when(F.lower("processing_status") == "failed", "pending").otherwise(F.col("processing_status")))
+
+
+def clear_state(state: DataFrame, keys: list[str] | None = None, key: str = "path") -> DataFrame:
+    """The state without the named documents, or none at all."""
+    return state.limit(0) if keys is None else state.where(~F.coalesce(F.col(key).isin(*keys), F.lit(False)))
+
+
+def queue_stats(state: DataFrame) -> DataFrame:
+    """One row: ``active, scheduled, total_pending, finished, failed`` of the status log (status in any case)."""
+    s = F.lower(F.trim("processing_status"))
+    out = state.agg(F.count_if(s == "processing").alias("active"), F.count_if(s.isin("pending", "queued")).alias("scheduled"), F.count_if(s.isin("completed", "skipped")).alias("finished"), F.count_if(s == "failed").alias("failed"))
+    return out.withColumn("total_pending", F.col("active") + F.col("scheduled"))
+
+
+def task_status(tasks: DataFrame, queue: DataFrame, key: str = "file_id") -> DataFrame:
+    """Stored status of each task with what the queue says of it; the queue wins where it knows the task."""
+    q = queue.select(key, F.lower("state").alias("queue_state"))
+    return tasks.join(q, key, "left").withColumn("current_status", F.coalesce("queue_state", F.lower("processing_status")))

@@ -49,6 +49,23 @@ def test_two_cliques(spark, send):
     assert C.modularity(e, c) > 0.4
 
 
+def test_communities_are_the_same_in_a_task_and_by_joins(spark):
+    pairs = random_graph(1, 12, 16)
+    n, e = nodes(spark, sorted(adjacency(pairs))), edges(spark, pairs)
+    one, two = ({r[0]: r[1] for r in C.communities(n, e, send_edges=send).collect()} for send in (10**6, 0))
+    assert one == two and 1 < len(set(one.values())) < len(one)
+
+
+def test_sampled_betweenness(spark):
+    pairs = random_graph(5, 40, 80)
+    n, e = nodes(spark, sorted(adjacency(pairs))), edges(spark, pairs)
+    exact = {r[0]: r[1] for r in C.betweenness(n, e).collect()}
+    whole = {r["id"]: (r["betweenness"], r["error"]) for r in C.betweenness_sampled(n, e, 10**6).collect()}
+    assert all(abs(whole[k][0] - v) < 1e-9 and whole[k][1] == 0 for k, v in exact.items())
+    some = {r["id"]: (r["betweenness"], r["error"]) for r in C.betweenness_sampled(n, e, 20).collect()}
+    assert 0 < sum(abs(some[k][0] - v) for k, v in exact.items()) <= 2 * sum(e for _, e in some.values())
+
+
 def test_communities_by_joins_settle_or_say_so(spark):
     n, e = nodes(spark, "abcdwxyz"), edges(spark, cliques())
     with pytest.raises(RuntimeError, match="settle"):
@@ -200,3 +217,37 @@ def test_empty_graph(spark):
     assert not G.graph_stats(n, e).first()["is_connected"]
     assert ppr.pagerank(n, e, spark.createDataFrame([], "id string, weight double")).count() == 0
     assert C.communities(n, e).count() == 0
+
+
+def test_augmentation(spark):
+    from loomgraph.operators import augment as A
+
+    n = nodes(spark, ["e1", "e2"]).unionByName(nodes(spark, ["t1", "t2"], "T")).unionByName(nodes(spark, ["r1"], "R"))
+    e = edges(spark, [("t1", "e1"), ("t2", "e1"), ("r1", "e1")])
+    made, link = A.attribute_nodes(n.where("type = 'N'"), n, e, "o")
+    got = {r["id"]: r["content"] for r in made.collect()}
+    assert got == {"A_e1_o": "Entity: e1\nContext: t1 | t2\nRelationships: r1", "A_e2_o": "Entity: e2"}
+    assert {(r["source"], r["target"]) for r in link.collect()} == {("A_e1_o", "e1"), ("A_e2_o", "e2")}
+    c = spark.createDataFrame([("e1", "x"), ("t1", "x"), ("e2", "y")], "id string, community string")
+    made, link = A.community_nodes(c, n, known=spark.createDataFrame([("y",)], "community string"))
+    assert {r["id"] for r in made.collect()} == {"H_community_x", "O_community_x"}
+    assert {(r["source"], r["target"]) for r in link.collect()} == {("O_community_x", "H_community_x"), ("H_community_x", "e1"), ("H_community_x", "t1")}
+    none = A.augment_new(n, e, n.where("id = 'e1'"))[0]
+    assert [r["type"] for r in none.collect()] == ["A"]
+    assert A.augment(n, e, 0.5)[0].groupBy("type").count().where("type = 'H'").first()["count"] == 2
+
+
+def test_walk_brings_attributes_and_titles(spark):
+    n = nodes(spark, ["e1"]).unionByName(nodes(spark, ["a1"], "A")).unionByName(nodes(spark, ["o1"], "O")).unionByName(nodes(spark, ["h1", "h2"], "H"))
+    e = edges(spark, [("a1", "e1"), ("o1", "h2"), ("o1", "h1")])
+    chosen = spark.createDataFrame([("e1", "N", "seed", 0, True), ("o1", "O", "walk", 1, True)], "id string, type string, origin string, rank int, listed boolean")
+    got = {r["id"]: r["origin"] for r in R.with_expansions(chosen, e, n).collect()}
+    assert got == {"e1": "seed", "o1": "walk", "a1": "attribute", "h1": "high_level"}
+
+
+def test_reformulate():
+    said = [{"role": "user", "content": "Who is Ann?"}]
+    assert R.reformulate("and her office?", None, lambda h, q: "x") == "and her office?"
+    assert R.reformulate("and her office?", said, lambda h, q: "Query: where is the office of Ann?") == "where is the office of Ann?"
+    assert R.reformulate("q", said, lambda h, q: 1 / 0) == "q"
+    assert R.decompose("a b a")[0] == "a b a" and len(R.decompose("one two three four five six")) == 21

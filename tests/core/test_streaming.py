@@ -46,3 +46,34 @@ def test_service(spark, tmp_path):
     assert ws.delete("o", ["f1"])["deleted_embeddings"] > 0
     left = {r["content"] for r in ws.nodes("o", "N").collect()}
     assert "Initech" in left and "Globex" not in left and "Acme" in left
+
+
+def test_requests_share_entities(spark, tmp_path):
+    ws = Workspace(spark, "file://" + str(tmp_path / "ws"))  # a path with a scheme is no local path
+    one = spark.createDataFrame([("f1", "Acme bought Globex last year.")], "file_id string, text string")
+    two = spark.createDataFrame([("f2", "Initech sued Acme in court.")], "file_id string, text string")
+    heard, called = [], []
+    assert ws.index_documents("o", one)["version"] == 1
+    got = ws.process("o", two.selectExpr("file_id", "0 as chunk_index", "text as content"), lambda f, s: heard.append((f, s)), called.append)
+    assert got["version"] == 2 and heard == [("f2", "processing"), ("f2", "completed")] and called[0]["file_ids"] == ["f2"]
+    acme = [r for r in ws.nodes("o", "N").collect() if r["content"] == "Acme"]
+    assert len(acme) == 1 and acme[0]["file_ids"] == ["f1", "f2"]
+    assert ws.graph("o")[1].where("target = source").count() == 0
+    assert ws.graph("o")[1].where(f"target = '{acme[0]['id']}'").count() >= 2
+    ws.index_documents("p", one)  # another organisation keeps its own
+    assert ws.nodes("p", "N").count() == 2 and ws.read("graphs").count() == 2
+    assert ws.respond("o", "Acme bought Globex")["total_results"] > 0 and ws.respond("q", "x")["source"] == "memory"
+    assert ws.queue()["finished"] == 3 and ws.rebuild_index("p") > 0
+    assert ws.augment("o")["A"] >= 1 and ws.nodes("o", "H").count() >= 1
+    drawn, _ = ws.drawing("o", by_community=True)
+    assert drawn.where("colour != '#CCCCCC'").count() > 0
+
+
+def test_pipeline_resumes(spark, tmp_path):
+    seen, saved = [], []
+    steps = {"DOCUMENT_DISCOVERY": lambda: seen.append(1) or {}, "DOCUMENT_PROCESSING": lambda: 1 / 0}
+    out = I.run_pipeline(steps, saved.append)
+    assert not out["success"] and out["failed_phase"] == "DOCUMENT_PROCESSING" and saved[-1]["phase"] == "ERROR"
+    steps["DOCUMENT_PROCESSING"] = lambda: seen.append(2) or {}
+    assert I.run_pipeline(steps, saved.append, "DOCUMENT_DISCOVERY")["success"] and seen == [1, 2]
+    assert saved[-1]["phase"] == "FINISHED" and not I.can_resume(saved[-1]) and I.can_resume(saved[-2])

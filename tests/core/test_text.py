@@ -113,3 +113,32 @@ def test_many_queries_go_in_blocks(spark):
     queries = base.where("node_id < 11").withColumnRenamed("node_id", "query_id")
     got = [sorted(tuple(r) for r in VS.search_many(queries, base, 3, most_queries=m).collect()) for m in (4, 100)]
     assert got[0] == got[1] and len(got[0]) == 33
+
+
+def test_approximate_search_and_rebuild(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"v{i:03d}", f"type{i % 3}", [rng.gauss(0, 1) for _ in range(16)]) for i in range(900)] + [("none", "x", None)]
+    df = spark.createDataFrame(rows, "node_id string, node_type string, embedding array<float>")
+    index = VS.sketched(df, 16)
+    q = rows[5][2]
+    want = [r["node_id"] for r in VS.search(df, q, 10).collect()]
+    got = [r["node_id"] for r in VS.search_approx(index, q, 10).collect()]
+    assert len(set(want) & set(got)) >= 9 and got[0] == "v005"
+    new = df.where("node_id < 'v010'").withColumn("node_type", F.lit(None).cast("string"))
+    assert {r["node_type"] for r in VS.rebuilt(df, new, 16).collect()} == {"type0", "type1", "type2"}
+    assert VS.by_id(df, ["v001", "zz"]).count() == 1 and VS.by_id(df, []).count() == 0
+
+
+def test_replies(spark):
+    reply = '{"Output": [{"semantic_unit": "u", "entities": [" acme ", "ACME"], "relationships": ["Acme, bought, Globex", "too, short"]}, {"semantic_unit": "no lists"}]}'
+    x = one(spark, reply, T.unified_extraction)
+    assert x["units"] == ["u"] and x["entities"] == ["ACME"] and [tuple(t) for t in x["triples"]] == [("ACME", "bought", "GLOBEX")] and x["success"]
+    bad = one(spark, '{"other": 1}', T.unified_extraction)
+    assert not bad["success"] and bad["units"] == []
+    fix = lambda c: T.repaired_triple(F.split(c, r"\|"))
+    assert tuple(one(spark, "a||is|part of|b", fix)) == ("A", "is part of", "B") and tuple(one(spark, "", fix)) == ("", "", "")
+    said = lambda c: T.repaired_triple(F.array(F.lit("x")), c)
+    assert tuple(one(spark, '{"source": "a", "relationship": "r", "target": "b"}', said)) == ("A", "r", "B") and tuple(one(spark, "broken", said)) == ("X", "", "")
+    assert one(spark, "Query: query: Output: what", T.strip_reworded_prefix) == "what" and one(spark, "Answer: x", T.strip_reworded_prefix) == "Answer: x"
