@@ -73,6 +73,34 @@ def test_similar_vectors_recall(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want) and got <= want
 
 
+def test_int8_bound_and_product():
+    rng = np.random.default_rng(1)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(50, 64)), rng.normal(size=(70, 64))))
+    a, b = knn.int8_codes(x), knn.int8_codes(y)
+    assert (knn.int8_product(a[0], b[0]) == a[0].astype(np.int64) @ b[0].astype(np.int64).T).all()
+    i, j, c = knn.tile_pairs(x, a, y, b, 0.2)
+    full = x @ y.T
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(z.tolist() for z in np.nonzero(full >= 0.2))))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 9), st.integers(0, 5)), max_size=12), max_size=6))
+def test_heaps_keep_the_best(pushes):
+    h, every = knn.Heaps(5, 3), {}
+    for p in pushes:
+        h.push(*(np.array([x[n] for x in p], float if n == 2 else np.int64) for n in range(3)))
+        for r, o, c in p:
+            every.setdefault(r, {})[o] = max(c, every.get(r, {}).get(o, -1))
+    want = sorted((r, o, float(c)) for r, e in every.items() for o, c in sorted(e.items(), key=lambda x: (-x[1], x[0]))[:3])
+    assert sorted(zip(*(v.tolist() for v in h.rows()))) == want
+
+
+def test_query_blocks_give_the_same(spark):
+    _, df = _vectors(spark, 300)
+    one, many = ({(r["node_id"], r["neighbour"], r["rank"]) for r in knn.nearest_of(df.where("id % 10 = 0"), df, 5, most_sent=m).collect()} for m in (10**6, 7))
+    assert one == many and len(one) == 150
+
+
 def test_hot_cell_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK", 32)
     monkeypatch.setattr(knn, "CELL_ROWS", 10**9)  # one cell: the join is exhaustive
