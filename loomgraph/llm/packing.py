@@ -23,34 +23,30 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import cut
 
-#: Parts into which items of one size are ranked.
-SALTS = 64
-_encoders: dict[str, object] = {}
+#: Items of one size that are ranked together, about; a size of more is cut into parts.
+RANKED = 100_000
+#: Vocabulary file and word pattern of the tokenizer by default; both are parameters (the pattern is that of the public 50k byte vocabulary).
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_encoders: dict[tuple[str, str], object] = {}
 
 
-def encoder(path: str):  # noqa: ANN201
+def encoder(path: str = VOCABULARY, pattern: str = PATTERN):  # noqa: ANN201
     """The tokenizer of a .tiktoken file, made once in a worker."""
-    if path not in _encoders:
-        import public_tokenizers as P
+    if (path, pattern) not in _encoders:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        _encoders[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[path, pattern]
 
 
-def default_vocabulary() -> str:
-    import public_tokenizers as P
-
-    return str(P.path("byte_bpe_50k.tiktoken"))
-
-
-def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
+def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``key, n_tokens`` of whole texts; 0 for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary)
+        e = encoder(vocabulary, pattern)
         for b in batches:
             n = [len(e.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64())], ["key", "n_tokens"])
@@ -109,20 +105,25 @@ def pack_plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple
     return out
 
 
-def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, vocabulary: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``key, piece, token_start, n_tokens, container``: one row a document, or a piece of one over capacity."""
     spark = docs.sparkSession
-    sized = cut(token_counts(docs, key, text, vocabulary or default_vocabulary()))
+    sized = cut(token_counts(docs, key, text, vocabulary, pattern))
     cap = F.lit(capacity)
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / cap) - 1).cast("int")
     items = sized.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.least(cap, F.col("n_tokens") - i * cap))).alias("piece", "size"))
-    items = items.select("key", "piece", (F.col("piece").cast("bigint") * cap).alias("token_start"), F.col("size").cast("int").alias("size"), F.pmod(F.xxhash64("key", "piece"), F.lit(SALTS)).cast("int").alias("salt"))
-    tally = items.groupBy("size", "salt").count().orderBy("size", "salt").collect()  # at most capacity x SALTS rows
-    offset = np.zeros((capacity + 1, SALTS), np.int64)
-    histogram: dict[int, int] = {}
-    for r in tally:
-        offset[r["size"], r["salt"]] = histogram.get(r["size"], 0)
-        histogram[r["size"]] = histogram.get(r["size"], 0) + r["count"]
+    items = items.select("key", "piece", (F.col("piece").cast("bigint") * cap).alias("token_start"), F.col("size").cast("int").alias("size"))
+    histogram = {r["size"]: r["count"] for r in items.groupBy("size").count().collect()}  # at most capacity + 1 rows
+    # a size is ranked in as many parts as it needs, so full pieces of long texts are no hot key
+    parts = np.ones(capacity + 1, np.int64)
+    for size, n in histogram.items():
+        parts[size] = -(-n // RANKED)
+    of = F.element_at(F.array(*[F.lit(int(x)) for x in parts]), F.col("size") + 1)
+    items = items.withColumn("salt", F.pmod(F.xxhash64("key", "piece"), of).cast("int"))
+    offset = {size: np.zeros(int(parts[size]), np.int64) for size in histogram}
+    for r in items.groupBy("size", "salt").count().collect():  # a row for RANKED items, and one a size
+        offset[r["size"]][r["salt"]] = r["count"]
+    offset = {size: np.cumsum(n) - n for size, n in offset.items()}
     histogram.pop(0, None)
     first: dict[int, list[tuple[int, int, int]]] = {}  # size -> (first rank, items a container, first container)
     used, container = dict.fromkeys(histogram, 0), 0
@@ -137,13 +138,13 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cap
         offset, first = shared.value
         for b in batches:
             size, salt = b.column("size").to_numpy(), b.column("salt").to_numpy()
-            rank = b.column("r").to_numpy() - 1 + offset[size, salt]
+            place = b.column("r").to_numpy() - 1
             out = np.full(len(size), -1, np.int64)
             for s in np.unique(size[size > 0]):
                 m = size == s
-                plan = first[int(s)]
-                at = np.searchsorted(plan[:, 0], rank[m], "right") - 1
-                out[m] = plan[at, 2] + (rank[m] - plan[at, 0]) // plan[at, 1]
+                plan, rank = first[int(s)], place[m] + offset[int(s)][salt[m]]
+                at = np.searchsorted(plan[:, 0], rank, "right") - 1
+                out[m] = plan[at, 2] + (rank - plan[at, 0]) // plan[at, 1]
             yield pa.RecordBatch.from_arrays(
                 [b.column("key"), b.column("piece"), b.column("token_start"), pa.array(size.astype(np.int32)), pa.array(out, mask=out < 0)], ["key", "piece", "token_start", "n_tokens", "container"]
             )

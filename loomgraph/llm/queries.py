@@ -59,6 +59,15 @@ def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every packing: all documents come out, no container overflows, only what exceeds a container is split."""
+    got = cut(packing.pack_documents(table(spark, sf_dir, "documents")))
+    fill = got.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    of = got.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    over = fill.agg(F.count_if(F.col("n") > 2048).alias("overfull"))
+    return of.agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= 2048)).alias("split_short")).where("documents > 0").join(over, F.lit(True))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leak.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return leaks.select("doc_id", "item_id").distinct()
@@ -72,7 +81,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packing": p6_packing, "p6_invariants": p6_invariants, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 ORACLE: dict[str, str] = {
     "p1_found": """
         WITH t AS (SELECT DISTINCT node_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM noderag_embeddings WHERE content IS NOT NULL),
@@ -91,6 +100,7 @@ ORACLE: dict[str, str] = {
         r AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) <= 5)
         SELECT DISTINCT least(a, b) AS node_id_a, greatest(a, b) AS node_id_b FROM r
     """,
+    "p6_invariants": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS split_short, 0::BIGINT AS overfull FROM documents",
     "p5_found": r"""
         SELECT chunk_key FROM document_chunks
         WHERE len(regexp_extract_all(content, '[\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[^\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+')) > 512

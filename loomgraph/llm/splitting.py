@@ -1,19 +1,23 @@
 """Splitting oversized items at natural boundaries by structure-tree packing.
 
-The text is read as a tree: sections (headings), blocks (blank lines), lines and list or
-table rows, sentences, clauses, words.  Sibling subtrees are merged in order while they
-fit; only a node that is itself oversized is opened.  Pieces after the first begin a
-fixed number of tokens before the fresh part.
+The text is parsed into a tree: sections by depth of heading, blocks (blank lines), list or
+table rows, lines, sentences, clauses, words.  Packing goes bottom-up: a node that fits is a
+piece; only a node that is itself oversized is opened, and the pieces of its children are
+merged with their neighbours while they fit, so what remains of an opened node joins the
+sibling that follows.  The first piece may fill the limit; later ones begin a fixed number
+of tokens before their fresh part.
 
 Defined results: null or blank content and content within the limit give no pieces; a
 text without any boundary is cut between tokens; repeated rows are each split under
-their own key.  All tokens of a text are covered, in order.
+their own key.  All tokens of a text are covered, in order.  A chunk without file or
+chunk_index whose ``start_char`` is missing has pieces without ``start_char``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -21,11 +25,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 #: One character of these scripts is a token of its own (fixed values).
 SINGLE = "฀-๿぀-ヿ㐀-鿿"
 TOKEN = re.compile(f"[{SINGLE}]|[^\\s{SINGLE}]+")
-HEADING = re.compile(r"#{1,6}\s|\d+(\.\d+)*\.?\s+\S[^.!?]{0,80}$|<h[1-6]\b")
+HEADING = re.compile(r"#{1,6}\s|\d+(\.\d+)*\.?\s+\S[^.!?]*$|<h[1-6]\b")
 ITEM = re.compile(r"[-*+•|]\s?|\d{1,3}[.)]\s|\(?[a-z]\)\s|<(li|tr|p|div)\b")
 STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*$|[。！？।॥؟]+[”」』）]*$")
-#: Boundary levels, weak to strong.
+#: Boundary levels, weak to strong; a heading of depth n stands at SECTION + 6 - n.
 TOKENS, WORD, CLAUSE, SENTENCE, LINE, ROW, BLOCK, SECTION = range(8)
+DEPTH = re.compile(r"(#{1,6})\s|<h([1-6])\b|(\d+(?:\.\d+)*)\.?\s")
 
 
 def boundary_levels(text: str, spans: list[tuple[int, int]]) -> list[int]:
@@ -39,7 +44,7 @@ def boundary_levels(text: str, spans: list[tuple[int, int]]) -> list[int]:
         if "\n" in gap or "\f" in gap:
             line = text[c : text.find("\n", c) if text.find("\n", c) >= 0 else len(text)]
             blank = gap.count("\n") > 1 or "\f" in gap
-            level = SECTION if HEADING.match(line) and (blank or line.startswith(("#", "<h"))) else BLOCK if blank else ROW if ITEM.match(line) else LINE
+            level = SECTION + 6 - heading_depth(line) if HEADING.match(line) and (blank or line.startswith(("#", "<h"))) else BLOCK if blank else ROW if ITEM.match(line) else LINE
             word = text[a:b]
             out.append(SENTENCE if level == LINE and not STOP.search(word) and len(gap) == 1 and line[:1].islower() else level)
         elif STOP.search(text[a:b]):
@@ -49,31 +54,60 @@ def boundary_levels(text: str, spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def pack(levels: list[int], lo: int, hi: int, limit: int, level: int = SECTION) -> list[tuple[int, int]]:
-    """Token ranges of at most ``limit`` that tile [lo, hi), cut at the strongest boundaries that serve."""
-    if hi - lo <= limit:
-        return [(lo, hi)]
-    if level <= TOKENS:
-        return [(i, min(hi, i + limit)) for i in range(lo, hi, limit)]
-    cuts = [lo, *(i for i in range(lo + 1, hi) if levels[i] >= level), hi]
-    if len(cuts) == 2:
-        return pack(levels, lo, hi, limit, level - 1)
-    out: list[tuple[int, int]] = []
-    start = None  # of the siblings merged so far
-    for a, b in zip(cuts, cuts[1:]):
-        if b - a > limit:
-            if start is not None:
-                out.append((start, a))
-                start = None
-            out += pack(levels, a, b, limit, level - 1)
-        elif start is None:
-            start = a
-        elif b - start > limit:
-            out.append((start, a))
-            start = a
-    if start is not None:
-        out.append((start, hi))
-    return out
+def heading_depth(line: str) -> int:
+    """1 to 6: of marks, of tags, or of the parts of a number."""
+    m = DEPTH.match(line)
+    return 6 if m is None else len(m[1]) if m[1] else int(m[2]) if m[2] else min(6, m[3].count(".") + 1)
+
+
+@dataclass
+class Node:
+    """A subtree over the tokens [lo, hi); children tile it."""
+
+    lo: int
+    hi: int
+    children: list["Node"]
+
+
+def structure(levels: list[int], lo: int, hi: int, limit: int) -> Node:
+    """The tree over [lo, hi): each node is cut at its strongest boundaries. Nodes within ``limit`` are leaves, as they are never opened."""
+    root = Node(lo, hi, [])
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if n.hi - n.lo <= limit:
+            continue
+        top = max(levels[n.lo + 1 : n.hi])
+        cuts = [n.lo, *(i for i in range(n.lo + 1, n.hi) if levels[i] == top), n.hi] if top > TOKENS else list(range(n.lo, n.hi)) + [n.hi]
+        n.children = [Node(a, b, []) for a, b in zip(cuts, cuts[1:])]
+        todo += n.children
+    return root
+
+
+def pack(levels: list[int], lo: int, hi: int, limit: int, first: int | None = None) -> list[tuple[int, int]]:
+    """Token ranges of at most ``limit`` (the one from ``lo`` of at most ``first``) that tile [lo, hi)."""
+    room = lambda a: (first or limit) if a == lo else limit
+    root = structure(levels, lo, hi, limit)
+    # children before parents, without recursion: depth has no bound
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += n.children
+    pieces: dict[int, list[tuple[int, int]]] = {}
+    for n in reversed(order):
+        if not n.children:
+            pieces[id(n)] = [(n.lo, n.hi)]
+            continue
+        out: list[tuple[int, int]] = []
+        for c in n.children:
+            for a, b in pieces.pop(id(c)):
+                if out and b - out[-1][0] <= room(out[-1][0]):
+                    out[-1] = (out[-1][0], b)
+                else:
+                    out.append((a, b))
+        pieces[id(n)] = out
+    return pieces[id(root)]
 
 
 def split_text(text: str, limit: int = 512, overlap: int = 50) -> list[tuple[int, int, int]]:
@@ -84,7 +118,7 @@ def split_text(text: str, limit: int = 512, overlap: int = 50) -> list[tuple[int
     if len(spans) <= limit:
         return []
     out = []
-    for lo, hi in pack(boundary_levels(text, spans), 0, len(spans), limit - overlap):
+    for lo, hi in pack(boundary_levels(text, spans), 0, len(spans), limit - overlap, limit):
         lo = max(0, lo - overlap)
         out.append((spans[lo][0], spans[hi - 1][1], hi - lo))
     return out
@@ -98,16 +132,17 @@ def repaired_starts(chunks: DataFrame, gap: int = 2, segment: int = 1024) -> Dat
     first, so a file with very many chunks is not summed in one task.
     """
     length = F.coalesce(F.length("content"), F.col("end_char") - F.col("start_char"), F.lit(0)).cast("bigint")
-    one = chunks.groupBy("file_id", "chunk_index").agg(F.max(length).alias("n"))
+    file = [F.coalesce("org_id", F.lit("")).alias("org"), "file_id"] if "org_id" in chunks.columns else [F.lit("").alias("org"), "file_id"]
+    one = chunks.where("file_id is not null and chunk_index is not null").groupBy(*file, "chunk_index").agg(F.max(length).alias("n"))
     one = one.withColumn("seg", F.floor(F.col("chunk_index") / segment))
-    segs = one.groupBy("file_id", "seg").agg(F.sum(F.col("n") + gap).alias("total"))
-    before = W.partitionBy("file_id").orderBy("seg").rowsBetween(W.unboundedPreceding, -1)
-    segs = segs.select("file_id", "seg", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("file_id", "seg").orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
-    at = one.withColumn("off", F.coalesce(F.sum(F.col("n") + gap).over(inside), F.lit(0))).join(segs, ["file_id", "seg"])
-    at = at.select("file_id", "chunk_index", (F.col("base") + F.col("off")).alias("computed"))
-    known = F.col("start_char").isNotNull() & ((F.col("start_char") > 0) | (F.col("chunk_index") == 0))
-    rows = chunks.select("chunk_key", "file_id", "chunk_index", "start_char").join(at, ["file_id", "chunk_index"], "left")
+    segs = one.groupBy("org", "file_id", "seg").agg(F.sum(F.col("n") + gap).alias("total"))
+    before = W.partitionBy("org", "file_id").orderBy("seg").rowsBetween(W.unboundedPreceding, -1)
+    segs = segs.select("org", "file_id", "seg", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    inside = W.partitionBy("org", "file_id", "seg").orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
+    at = one.withColumn("off", F.coalesce(F.sum(F.col("n") + gap).over(inside), F.lit(0))).join(segs, ["org", "file_id", "seg"])
+    at = at.select("org", "file_id", "chunk_index", (F.col("base") + F.col("off")).alias("computed"))
+    known = F.col("start_char").isNotNull() & ((F.col("start_char") > 0) | F.coalesce(F.col("chunk_index") == 0, F.lit(False)))
+    rows = chunks.select("chunk_key", *file, "chunk_index", "start_char").join(at, ["org", "file_id", "chunk_index"], "left")
     return rows.select("chunk_key", F.when(known, F.col("start_char").cast("bigint")).otherwise(F.col("computed")).alias("start"))
 
 
@@ -138,6 +173,6 @@ def split_oversized(chunks: DataFrame, limit: int = 512, overlap: int = 50) -> D
 def split_chunks(chunks: DataFrame, limit: int = 512, overlap: int = 50) -> DataFrame:
     """Pieces with ``start_char`` in the running text of the file."""
     pieces = split_oversized(chunks, limit, overlap)
-    starts = repaired_starts(chunks)
+    starts = repaired_starts(chunks).groupBy("chunk_key").agg(F.min("start").alias("start"))  # once a key, however often delivered
     out = pieces.join(starts, "chunk_key", "left")
-    return out.select("chunk_key", "piece", "content", (F.coalesce("start", F.lit(0)) + F.col("start_in_chunk")).alias("start_char"), "token_count")
+    return out.select("chunk_key", "piece", "content", (F.col("start") + F.col("start_in_chunk")).alias("start_char"), "token_count")

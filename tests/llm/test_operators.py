@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from loomgraph.llm import knn, leak, names, neardup, packing, scanned, sentences, splitting
+from loomgraph.llm import knn, leak, names, neardup, packing, pairing, scanned, sentences, splitting
 
 # ------------------------------------------------------------- near-duplicates
 
@@ -45,6 +45,28 @@ def test_light_sets_apart_from_heavy_ones_meet_them(spark):
     assert got == {(i, 50 + i) for i in range(8)}
 
 
+def test_pairs_of_a_large_class_meet_by_blocks(spark):
+    rows = [("a", f"m{i:03d}") for i in range(50)] + [("a", "m001"), ("b", "x"), ("b", "y"), ("c", "alone"), (None, "n"), ("b", None)]
+    got = [tuple(r) for r in pairing.class_pairs(spark.createDataFrame(rows, "k string, m string"), "k", "m", 6).collect()]
+    assert sorted(got) == sorted([(f"m{i:03d}", f"m{j:03d}") for i in range(50) for j in range(i + 1, 50)] + [("x", "y")])
+
+
+def test_similar_classes_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(f"x{i:02d}", a) for i in range(11)] + [(f"y{i:02d}", a + " b") for i in range(9)]
+    got = [tuple(r) for r in neardup.node_pairs(*neardup.near_duplicates(spark.createDataFrame(rows, "k string, t string"), "k", "t")).collect()]
+    keys = sorted(k for k, _ in rows)
+    assert sorted(got) == [(p, q) for n, p in enumerate(keys) for q in keys[n + 1 :]]
+
+
+def test_a_set_id_stands_for_one_set(spark):
+    rows = spark.createDataFrame([("a", 1, [1, 2]), ("b", 1, [1, 2]), ("c", 1, [3, 4])], "key string, set_id bigint, items array<bigint>")
+    got, sets = neardup._distinct_sets(rows)
+    ids = {r["key"]: r["set_id"] for r in got.collect()}
+    assert ids["a"] == ids["b"] != ids["c"] and sets.count() == 2
+
+
 def test_groups_are_the_connected_sets(spark):
     a = " ".join(f"a{i}" for i in range(40))
     df = spark.createDataFrame([("x", a), ("y", a + " b"), ("z", a), ("q", " ".join(f"c{i}" for i in range(40)))], "k string, t string")
@@ -216,6 +238,19 @@ def test_pieces_cover_the_text(parts, limit, overlap):
     assert seen == len(spans) - 1 and got[0][0] == spans[0][0]
 
 
+def test_the_rest_of_an_opened_section_joins_the_next():
+    text = "# One\n\n" + "word " * 130 + "\n\n" + "tail " * 9 + "\n\n# Two\n\n" + "other " * 60
+    got = splitting.split_text(text, 140, 0)
+    assert [n for _, _, n in got] == [132, 71]  # the tail stands with the section that follows
+    assert splitting.heading_depth("### x") == 3 and splitting.heading_depth("1.2 x") == 2 and splitting.heading_depth("<h4>x") == 4
+
+
+def test_starts_are_by_organisation(spark):
+    rows = [(1, "o", "f", 0, "x" * 10, 0, 10), (2, "o", "f", 1, "y" * 5, None, None), (3, "p", "f", 0, "z" * 100, 0, 100), (4, "p", "f", 1, "w", 0, 1), (5, "p", None, None, "q", None, None)]
+    df = spark.createDataFrame(rows, "chunk_key bigint, org_id string, file_id string, chunk_index int, content string, start_char int, end_char int")
+    assert dict(splitting.repaired_starts(df).collect()) == {1: 0, 2: 12, 3: 0, 4: 102, 5: None}
+
+
 def test_cuts_fall_on_natural_places():
     text = "# One\n\n" + "This is a line. " * 30 + "\n\n# Two\n\n" + "And another one here. " * 30
     got = splitting.split_text(text, 140, 0)
@@ -246,11 +281,20 @@ def test_fill_one_is_optimal():
         assert sum(s * k for s, k in got) == max(sums) and all(counts[s] >= k for s, k in got)
 
 
+def test_hot_sizes_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    rows = [(i, " ".join(["word"] * (9000 if i % 10 == 0 else 2048 if i % 3 else 30))) for i in range(150)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).toPandas()
+    fill = got.groupby("container")["n_tokens"].sum()
+    assert fill.max() <= 2048 and sorted(fill.index) == list(range(len(fill))) and not got.duplicated(["doc_id", "piece"]).any()
+    assert got.groupby("doc_id")["n_tokens"].sum().to_dict() == {i: len(t.split()) for i, t in rows}
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["word"] * rng.choice([3, 40, 700, 1500, 2600]))) for i in range(300)]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).toPandas()
-    e = packing.encoder(packing.default_vocabulary())
+    e = packing.encoder()
     want = {i: len(e.encode_ordinary(t)) for i, t in rows}
     assert got.groupby("doc_id")["n_tokens"].sum().to_dict() == want
     fill = got.groupby("container")["n_tokens"].sum()
