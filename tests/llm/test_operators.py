@@ -214,6 +214,42 @@ def test_variants_link(spark):
     assert len(set(e[:6])) == 1 and e[6] == e[7] != e[0] and len(set(e[8:])) == 3
 
 
+def entities(spark, names_by_kind, tables=None):
+    rows = [(f"n{i}", "N", c, f'{{"entity_kind": "{k}"}}') for i, (k, c) in enumerate(names_by_kind)]
+    got = dict(names.link_names(spark.createDataFrame(rows, "id string, type string, content string, metadata string"), tables or names.DEFAULT).collect())
+    return [got[f"n{i}"] for i in range(len(rows))]
+
+
+def test_names_that_no_table_has(spark):
+    e = entities(spark, [("PERSON", x) for x in ("Jennifer Okafor", "Jen Okafor", "Jenny Okafor", "Okafor, Jennifer", "J. Okafor", "Jennifer Tanaka", "Jenna Ruiz", "Jennifer Ruiz", "Jen Ruiz")])
+    assert len(set(e[:4])) == 1 and e[5] != e[0] and len(set(e[6:])) == 3  # Jen fits two at Ruiz
+    e = entities(spark, [("ORG", x) for x in ("Zed Aerospace Inc", "Zed Aero. Inc.", "ZED AEROSPACE", "Zed Catering Ltd", "Quon Dynamics plc", "Quon Dyn. plc")])
+    assert len(set(e[:3])) == 1 and e[3] not in e[:3] and e[4] == e[5] != e[0]
+
+
+def test_surnames_keep_their_parts(spark):
+    e = entities(spark, [("PERSON", x) for x in ("Maria de la Cruz", "Maria Santa Cruz", "Santa Cruz, Maria", "de la Cruz, Maria", "Maria Cruz")])
+    assert e[0] == e[3] and e[1] == e[2] and e[0] != e[1] and e[4] != e[0]
+
+
+def test_short_forms_are_learned_from_rare_surnames(spark):
+    rng = random.Random(3)
+    sur = ["".join(rng.choice("bdfgklmnprst" if i % 2 else "aeiou") for i in range(9)).capitalize() for _ in range(66)]
+    e = entities(spark, [("PERSON", f"{n} {x}") for x in sur[:6] for n in ("Ottoline", "Lina")] + [("PERSON", f"Wilfreda {x}") for x in sur[6:]])
+    assert all(e[2 * i] == e[2 * i + 1] for i in range(6)) and len(set(e)) == 66
+
+
+def test_tables_are_parameters(spark):
+    people = [("PERSON", "Xaviera Molina"), ("PERSON", "Zuzu Molina")]
+    assert len(set(entities(spark, people))) == 2
+    assert len(set(entities(spark, people, names.Tables(nicknames={"xaviera": "zuzu"})))) == 1
+
+
+def test_short_surnames_need_a_clear_better_one(spark):
+    e = entities(spark, [("PERSON", x) for x in ["Robert Reed"] * 5 + ["Robert Reeed", "Robert Kim", "Robert Kin"]])
+    assert len(set(e[:6])) == 1 and e[6] != e[7]
+
+
 # ------------------------------------------------------------- splitting and packing
 
 PARAGRAPHS = st.lists(st.text(alphabet="ab. \n#-日本", max_size=120), max_size=30)
