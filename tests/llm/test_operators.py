@@ -186,6 +186,32 @@ def test_long_words_with_many_misread_places(spark):
     assert dict(scanned._corrections(words, counts, ed).collect()) == right
 
 
+def test_confusions_are_learned_from_scanned_pages(spark):
+    rng = random.Random(6)
+    syllables = [a + b for a in "bdfgklmnprstv" for b in "aeiou"]
+    stems = ["".join(rng.choice(syllables) for _ in range(4)) for _ in range(60)]
+    vocab = [w[:3] + "y" + w[4:] for w in stems]
+    wrong = [w.replace("y", "v") for w in vocab[:30]]
+    others = [w + "s" for w in vocab[:30]]
+    assert scanned.learn_confusions(wrong + others, others * 3, vocab) == [("y", "v")]
+    clean = [(i, f"c{i}", 0, " ".join(rng.sample(vocab, 40)) + f" {vocab[i]}s {vocab[i][1:]}er.") for i in range(60)]
+    scans = [(100 + i, "s", i, f"Annual budget of Vomo   {i + 3}\n" + " ".join(rng.sample(vocab, 20)) + f" {w} and {vocab[50]}.\nPage {i + 3} of 40\n\f" + " ".join(rng.sample(vocab, 12))) for i, w in enumerate(wrong)]
+    df = spark.createDataFrame(clean + scans, "chunk_key bigint, file_id string, chunk_index int, content string")
+    got = {(r[0], r[2]) for r in scanned.findings(df)[0].collect() if r[1] == "misread"}
+    assert len(got & {(100 + i, w) for i, w in enumerate(vocab[:30])}) >= 27 and {k for k, _ in got} <= set(range(100, 130))
+
+
+def test_learned_joins_and_furniture():
+    w = scanned.learn_joins([("committee", 40), ("warehouse", 30), ("budgeting", 9)] * 20, [("long-term", 30), ("part-time", 12)] * 20)
+    keeps = lambda *a: sum(w.get(f, 0) for f in scanned.join_features(*a)) > 0
+    assert not keeps("regis", "ter", 12, 0) and keeps("short", "list", 1, 20) and not keeps("har", "bour", 0, 0)
+    rows = [{"n": n, "edge": e, "numbered": 0, "marked": 0, "words": 4, "capitals": 2, "tops": e} for n, e in [(1, 0)] * 30 + [(1, 1)] * 9 + [(6, 6)] * 9 + [(4, 3)] * 9 + [(5, 0)] * 9]
+    f = scanned.learn_furniture(rows)
+    head = lambda *a: sum(f.get(x, 0) for x in scanned.position_features(*a)) > 0
+    assert head(5, 5, 0, 0, 4, 2) and not head(2, 0, 0, 0, 4, 2)
+    assert scanned.learn_furniture([])
+
+
 def test_repaired_text():
     text = "Annual budget of Vomo   3\nThe harbour board audi-\nted it and the\npage was cl0sed.\nPage 3 of 9\n\fAnnual budget of Vomo   4\nAll went well."
     got = scanned.repaired(text, {scanned.head_key("Annual budget of Vomo")}, {"cl0sed": "closed"}, {"audited": "audited"})
