@@ -9,7 +9,9 @@ sentence.  Second pass: each mark of a document is classified with these statist
 
 Scripts are told by their characters; languages in Latin script by function words, as
 the stored language is often missing or wrong.  Both passes tell them by paragraph, from
-all of its text.
+all of its text and the document's usual language.  A line of its own of at most 90
+characters (numbered: 120) without a final mark is a heading; that is what a heading is
+here, not a limit on what is read.
 
 Defined results: null and blank texts give no sentences; a heading or list line is one
 unit; a text without any mark is one sentence a paragraph; repeated documents each come out.
@@ -38,42 +40,76 @@ ABBREVIATION, OTHER_USE = 0.3, 0.1
 FEW = 5
 #: An abbreviation may end sentences if such a share of its capitalised followers are openers.
 ENDS = 0.12
-#: Most rows of learned statistics that are sent to executors; more is an error, not a cut.
-MOST_ROWS = 2_000_000
+#: Words count as openers or names if they make such a share of all words of their language, whatever the corpus' size;
+#: so at most a million words of a language can, and in natural text some ten thousand do.
+LEAST_SHARE = 1e-6
+#: Counters of a task are handed on when they hold so many entries.
+HELD = 1_000_000
 
 SCRIPTS = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")))
 OTHER_SCRIPT = re.compile("[฀-๿ऀ-ॿ؀-ۿЀ-ӿ぀-ヿ㐀-鿿]")
+_OF = dict(SCRIPTS)
+LATIN = re.compile("[A-Za-z]{3}")
 WORD = re.compile(r"[^\W\d_]+(?:[.’'-][^\W\d_]+)*")
 OPENING = "“«„「『‹\"([¿¡'*"
 CLOSE = "”»“」』›"
 OPENER = re.compile(r"(?:\n\s*\n|[!?]\s+|\A\s*)(?:[\"“«„(\[¿¡]\s?)*([^\W\d_]+)")
 
 
-def language(text: str, otherwise: str | None = "en") -> str | None:
-    """By the whole text; ``otherwise`` if nothing tells."""
+def script(text: str) -> str | None:
+    """The language whose script a quarter of the characters have, if any."""
     # a quarter of such characters, of two bytes or more, makes the bytes a quarter more
     if len(text.encode("utf-8", "surrogatepass")) * 4 >= len(text) * 5 and len(OTHER_SCRIPT.findall(text)) * 4 >= len(text):
         for name, pattern in SCRIPTS:
             if len(pattern.findall(text)) * 4 >= len(text):
                 return name
-    votes: dict[str, int] = {}
+    return None
+
+
+def votes(text: str) -> dict[str, int]:
+    """How many function words of each language in Latin script stand in the text."""
+    out: dict[str, int] = {}
     for k in map(_WHICH.get, text.lower().split()):
         if k is not None:
-            votes[k] = votes.get(k, 0) + 1
-    return max(votes, key=votes.__getitem__) if votes else otherwise
+            out[k] = out.get(k, 0) + 1
+    return out
+
+
+def language(text: str, otherwise: str | None = "en") -> str | None:
+    """By the whole text; ``otherwise`` if nothing tells."""
+    if (name := script(text)) is not None:
+        return name
+    v = votes(text)
+    return max(v, key=v.__getitem__) if v else otherwise
 
 
 def passages(text: str) -> list[tuple[int, int, bool, str]]:
-    """(start, end, whole, language) of each block; short ones take the language of most of the document."""
+    """(start, end, whole, language) of each block.
+
+    A block has the language of most of the document unless it says otherwise: by its script,
+    or by more than twice as many function words of another language.
+    """
     found, size = [], {}
     for lo, hi, whole in blocks(text):
-        lang = language(text[lo:hi], None) if hi - lo >= 60 else None
-        if lang is not None:
-            size[lang] = size.get(lang, 0) + hi - lo
-        found.append((lo, hi, whole, lang))
+        part = text[lo:hi]
+        own = script(part)
+        v = votes(part) if own is None else {}
+        told = own or (max(v, key=v.__getitem__) if v else None)
+        if told is not None:
+            size[told] = size.get(told, 0) + hi - lo
+        found.append((lo, hi, whole, own, v))
     usual = max(size, key=size.__getitem__) if size else language(text)
-    latin = usual if usual in FUNCTION_WORDS else "en"
-    return [(lo, hi, whole, lang or (latin if hi - lo >= 60 else usual)) for lo, hi, whole, lang in found]
+    out = []
+    for lo, hi, whole, own, v in found:
+        lang = own or usual
+        if own is None and v:
+            most = max(v, key=v.__getitem__)
+            if v[most] > 2 * v.get(usual, 0) or (usual not in FUNCTION_WORDS and not _OF[usual].search(text, lo, hi)):
+                lang = most
+        elif own is None and usual not in FUNCTION_WORDS and not _OF[usual].search(text, lo, hi) and LATIN.search(text, lo, hi):
+            lang = "en"
+        out.append((lo, hi, whole, lang))
+    return out
 
 
 def kind(word: str) -> str:
@@ -90,24 +126,7 @@ def looks_upper(word: str) -> bool:
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``lang, what, a, b, n``: w word | f kind, class of what follows | u kind, capitalised follower | o opener."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, tuple[Counter, Counter, Counter]] = {}
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                if not t:
-                    continue
-                runs: list[tuple[str, int]] = []  # stretches of one language
-                for lo, _, _, lang in passages(t):
-                    if not runs or runs[-1][0] != lang:
-                        runs.append((lang, lo))
-                for (lang, lo), (_, hi) in zip(runs, [*runs[1:], ("", len(t))]):
-                    part = t[lo:hi]
-                    words, follow, openers = counts.setdefault(lang, (Counter(), Counter(), Counter()))
-                    tokens = part.split()
-                    words.update(tokens)
-                    if "." in part:
-                        follow.update((a, b) for a, b in zip(tokens, tokens[1:]) if a[-1] == "." or a[-1] in ",;:" and a[-2:-1] == ".")
-                    openers.update(OPENER.findall(part))
+    def told(counts: dict[str, tuple[Counter, Counter, Counter]]) -> pa.RecordBatch:
         rows: Counter = Counter()
         for lang, (words, follow, openers) in counts.items():
             for token, n in words.items():
@@ -131,7 +150,30 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             for w, n in openers.items():
                 rows[lang, "o", w, ""] += n
         keys = list(rows)
-        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([rows[k] for k in keys], pa.int64())], ["lang", "what", "a", "b", "n"])
+        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([rows[k] for k in keys], pa.int64())], ["lang", "what", "a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, tuple[Counter, Counter, Counter]] = {}
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                if not t:
+                    continue
+                if sum(len(c) for of in counts.values() for c in of) >= HELD:
+                    yield told(counts)
+                    counts = {}
+                runs: list[tuple[str, int]] = []  # stretches of one language
+                for lo, _, _, lang in passages(t):
+                    if not runs or runs[-1][0] != lang:
+                        runs.append((lang, lo))
+                for (lang, lo), (_, hi) in zip(runs, [*runs[1:], ("", len(t))]):
+                    part = t[lo:hi]
+                    words, follow, openers = counts.setdefault(lang, (Counter(), Counter(), Counter()))
+                    tokens = part.split()
+                    words.update(tokens)
+                    if "." in part:
+                        follow.update((a, b) for a, b in zip(tokens, tokens[1:]) if a[-1] == "." or a[-1] in ",;:" and a[-2:-1] == ".")
+                    openers.update(OPENER.findall(part))
+        yield told(counts)
 
     got = docs.select(F.col(text).alias("text")).mapInArrow(run, "lang string, what string, a string, b string, n bigint")
     return got.groupBy("lang", "what", "a", "b").agg(F.sum("n").alias("n"))
@@ -144,13 +186,6 @@ class Model:
         self.abbreviations, self.common, self.never = abbreviations, common, never
 
 
-def _collect(df: DataFrame) -> list:
-    rows = df.limit(MOST_ROWS + 1).collect()
-    if len(rows) > MOST_ROWS:
-        raise RuntimeError("more learned statistics than can be sent to executors")
-    return rows
-
-
 def learn(docs: DataFrame, text: str = "text") -> Model:
     from ..runtime import cut
 
@@ -163,9 +198,9 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     # words capitalised as openers only: their small form is usual
     upper = s.where("what = 'u'").select("lang", F.col("a").alias("k"), F.col("b").alias("w"), "n")
     after = upper.select("lang", "w").union(s.where("what = 'o'").select("lang", F.col("a"))).distinct().withColumn("lw", F.lower("w"))
-    common = after.join(low, ["lang", "lw"]).join(cap, ["lang", "w"]).where("n_low >= 3 and n_low * 2 >= n").select("lang", "w")
+    common = after.join(low, ["lang", "lw"]).join(cap, ["lang", "w"]).join(total, "lang").where((F.col("n_low") >= F.greatest(F.lit(3), F.col("tokens") * LEAST_SHARE)) & (F.col("n_low") * 2 >= F.col("n"))).select("lang", "w")
     opens = s.where("what = 'o'").select("lang", F.col("a").alias("w"), F.col("n").alias("n_open"))
-    never = cap.where("n >= 50").join(opens, ["lang", "w"], "left").where(F.coalesce("n_open", F.lit(0)) * 200 < F.col("n")).select("lang", "w")
+    never = cap.join(total, "lang").where(F.col("n") >= F.greatest(F.lit(50), F.col("tokens") * LEAST_SHARE)).join(opens, ["lang", "w"], "left").where(F.coalesce("n_open", F.lit(0)) * 200 < F.col("n")).select("lang", "w")
     follow = s.where("what = 'f'").groupBy("lang", F.col("a").alias("k")).pivot("b", ["comma", "number", "lower", "upper"]).sum("n").na.fill(0)
     openers = upper.join(common, ["lang", "w"], "left_semi").groupBy("lang", "k").agg(F.sum("n").alias("openers"))
     f = follow.join(openers, ["lang", "k"], "left").join(both, ["lang", "k"], "left").join(total, "lang").na.fill(0, ["openers", "all"])
@@ -180,9 +215,11 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     size = F.length(F.regexp_replace("k", r"\.", ""))
     score = ratio * F.exp(-size) * (1 + F.length("k") - size) * F.pow(size.cast("double"), F.greatest(-(n - c), F.lit(-60.0)) / F.greatest(F.lit(1.0), n / 40))
     other = F.col("comma") + F.col("number") + F.col("lower")
+    # an abbreviation stands before periods; rarer ones than a share of these prove nothing
+    f = f.where(c >= F.col("periods") * LEAST_SHARE)
     f = f.where((F.col("k").isin("#", "##")) | ((score >= ABBREVIATION) & ((other >= OTHER_USE * c) | ((F.col("openers") < OTHER_USE * c) & (c >= FEW)))))
-    abbreviations = {(r[0], r[1]): r[2] for r in _collect(f.select("lang", "k", F.col("openers") / F.greatest(F.lit(1.0), F.col("upper"))))}
-    return Model(abbreviations, {(r[0], r[1]) for r in _collect(common)}, {(r[0], r[1]) for r in _collect(never)})
+    abbreviations = {(r[0], r[1]): r[2] for r in f.select("lang", "k", F.col("openers") / F.greatest(F.lit(1.0), F.col("upper"))).collect()}
+    return Model(abbreviations, {(r[0], r[1]) for r in common.collect()}, {(r[0], r[1]) for r in never.collect()})
 
 
 PARTNER = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", '"': '"'}
@@ -347,8 +384,10 @@ def sentences(text: str, model: Model) -> list[tuple[int, int]]:
             gap, opener, word = NEXT.match(text, end, hi).groups()
             if not word and not opener:
                 continue
-            before = text[max(start, i - 40) : i]
-            left = "" if not before or before[-1].isspace() else before.split()[-1]
+            at = i
+            while at > start and not text[at - 1].isspace():
+                at -= 1
+            left = text[at:i]
             if not left.isalnum():
                 left = OPENS.split(left)[-1]
             closed = end > j
