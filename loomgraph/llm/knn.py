@@ -27,6 +27,8 @@ from ..runtime import cut
 FIT_ROWS, FIT_ROUNDS = 65_536, 4
 #: Average vectors of a cell; most cells of the first level and within one of them (together 64 MB of centroids at width 64).
 CELL_ROWS, FIRST_CELLS, SECOND_CELLS = 512, 256, 1_024
+#: First-level cells within which a vector looks for its nearest cells of the second level.
+FIRST_PROBES = 6
 #: Vectors a second-level centroid is fitted on, about (so a cell's sample has at most 32,768 rows).
 FIT_PER_CELL = 32
 #: Most vectors of one block of a tile, and most query vectors that are sent to the executors at once.
@@ -294,7 +296,7 @@ def _tiles(rows: DataFrame, k: int, floor: float, width: int) -> DataFrame:
     return rows.mapInArrow(run, "va bigint, vb bigint, cosine double")
 
 
-def similar_vectors(df: DataFrame, k: int = 5, min_cosine: float = 0.9, probes: int = 6, width: int = 64) -> DataFrame:
+def similar_vectors(df: DataFrame, k: int = 5, min_cosine: float = 0.9, probes: int = 4, width: int = 64) -> DataFrame:
     """``node_id_a, node_id_b, cosine`` (a < b): pairs at ``min_cosine`` or more of which one is among the k best of the other.
 
     Candidate cells: a pair is compared when one vector's own cell is among the
@@ -315,11 +317,11 @@ def similar_vectors(df: DataFrame, k: int = 5, min_cosine: float = 0.9, probes:
     centroids = fit_centroids(matrix(fit, width), min(cells, len(fit)))
 
     one = raw.join(classes.select("id"), "id", "left_semi")
-    first = cut(_first_cells(one, centroids, probes, width))
-    placed = cut(_second_cells(first, _second_centroids(first, width), probes, width))
-    # a cell that holds more than BLOCK vectors is cut into blocks, each its own tile
+    first = cut(_first_cells(one, centroids, FIRST_PROBES, width))
+    placed = _second_cells(first, _second_centroids(first, width), probes, width)  # placed twice rather than stored with its vectors
+    # a cell that holds more than BLOCK vectors is cut into blocks, each its own tile; there are fewer of them than cells
     blocks = placed.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    want = placed.select("vh", "vec", F.posexplode("cells").alias("p", "cell")).join(blocks, "cell", "left")
+    want = placed.select("vh", "vec", F.posexplode("cells").alias("p", "cell")).join(F.broadcast(blocks), "cell", "left")
     own_block = F.pmod(F.xxhash64(F.lit(7), "vh"), F.coalesce("blocks", F.lit(1))).cast("int")
     want = want.select("cell", "p", "vh", "vec", own_block.alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("b"))
     rows = want.select((F.col("cell").cast("bigint") * 1_000_000 + F.col("b")).alias("tile"), F.when((F.col("p") == 0) & (F.col("b") == F.col("own")), 0).otherwise(1).alias("side"), "vh", "vec")
