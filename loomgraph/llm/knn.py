@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..runtime import cut
 
 #: Vectors on which first centroids are fitted at most, and Lloyd rounds of either level.
-FIT_ROWS, FIT_ROUNDS = 65_536, 4
+FIT_ROWS, FIT_ROUNDS = 16_384, 4
 #: Average vectors of a cell; most cells of the first level and within one of them (together 64 MB of centroids at width 64).
 CELL_ROWS, FIRST_CELLS, SECOND_CELLS = 512, 256, 1_024
 #: First-level cells within which a vector looks for its nearest cells of the second level.
@@ -33,6 +33,8 @@ FIRST_PROBES = 6
 FIT_PER_CELL = 32
 #: Most vectors of one block of a tile, and most query vectors that are sent to the executors at once.
 BLOCK, SENT_QUERIES = 4_096, 65_536
+#: Most vectors that visit one tile, about; more are cut into blocks as well, each a tile with the same own vectors.
+VISITORS = 16_384
 
 
 def usable(df: DataFrame, width: int = 64) -> DataFrame:
@@ -319,12 +321,17 @@ def similar_vectors(df: DataFrame, k: int = 5, min_cosine: float = 0.9, probes:
     one = raw.join(classes.select("id"), "id", "left_semi")
     first = cut(_first_cells(one, centroids, FIRST_PROBES, width))
     placed = _second_cells(first, _second_centroids(first, width), probes, width)  # placed twice rather than stored with its vectors
-    # a cell that holds more than BLOCK vectors is cut into blocks, each its own tile; there are fewer of them than cells
-    blocks = placed.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    want = placed.select("vh", "vec", F.posexplode("cells").alias("p", "cell")).join(F.broadcast(blocks), "cell", "left")
-    own_block = F.pmod(F.xxhash64(F.lit(7), "vh"), F.coalesce("blocks", F.lit(1))).cast("int")
-    want = want.select("cell", "p", "vh", "vec", own_block.alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("b"))
-    rows = want.select((F.col("cell").cast("bigint") * 1_000_000 + F.col("b")).alias("tile"), F.when((F.col("p") == 0) & (F.col("b") == F.col("own")), 0).otherwise(1).alias("side"), "vh", "vec")
+    # a cell of more than BLOCK vectors is cut into blocks, each its own tile, and so are many visitors; there are fewer such cells than cells
+    blocks = placed.select(F.posexplode("cells").alias("p", "cell")).groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if(F.col("p") == 0) / BLOCK)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count("*") / VISITORS)).cast("int").alias("vblocks"))
+    want = placed.select("vh", "vec", F.posexplode("cells").alias("p", "cell")).join(F.broadcast(blocks.where("blocks > 1 or vblocks > 1")), "cell", "left").na.fill(1, ["blocks", "vblocks"])
+    part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vh"), n).cast("int")
+    tile = lambda b, v, side: F.struct(((F.col("cell").cast("bigint") * 1_000_000 + b) * 10_000 + v).alias("tile"), F.lit(side).alias("side"))
+    own, visit = part(7, F.col("blocks")), part(8, F.col("vblocks"))
+    # own vectors go to all tiles of their block, and visit those of the other blocks; visitors go to one tile of each block
+    at_home = F.transform(F.sequence(F.lit(0), F.col("vblocks") - 1), lambda v: tile(own, v, 0))
+    others = F.filter(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: tile(b, visit, 1)), lambda t: (F.col("p") > 0) | ~F.array_contains(F.transform(at_home, lambda h: h["tile"]), t["tile"]))
+    tiles = F.when(F.col("p") == 0, F.concat(at_home, others)).otherwise(others)
+    rows = want.select(F.inline(tiles), "vh", "vec")
     found = _tiles(rows.repartition("tile").sortWithinPartitions("tile", "side"), k, min_cosine, width).groupBy("va", "vb").agg(F.max("cosine").alias("cosine"))
     return _expand(found, held, classes, k)
 
