@@ -299,8 +299,9 @@ def digest(value: Column) -> Column:
     Hexadecimal in either case (with 0x, sha256: or separators) and base64 in the usual
     or the URL alphabet, padded or not, are read.
     """
-    s = F.regexp_replace(F.trim(value), "(?i)^(sha-?256[:=]|0x|urn:sha256:)\\s*", "")
-    plain = F.lower(F.regexp_replace(s, "[\\s:-]", ""))
+    s = F.regexp_replace(F.trim(value), "(?i)^(sha-?256[:=]|urn:sha256:)\\s*", "")
+    # base64 may begin with 0x as well, so that is only taken off before hexadecimal digits
+    plain = F.lower(F.regexp_replace(F.regexp_replace(s, "(?i)^0x", ""), "[\\s:-]", ""))
     b64 = F.concat(F.translate(F.regexp_replace(s, "=+$", ""), "-_", "+/"), F.lit("="))
     out = F.when(plain.rlike("^[0-9a-f]{64}$"), plain).when(s.rlike("^[A-Za-z0-9+/_-]{43}=?$"), F.lower(F.hex(F.unbase64(b64))))
     return F.when(~out.rlike("^0{64}$") & (F.length(out) == 64), out)

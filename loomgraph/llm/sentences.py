@@ -155,12 +155,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, tuple[Counter, Counter, Counter]] = {}
         for b in batches:
+            if sum(len(c) for of in counts.values() for c in of) >= HELD:
+                yield told(counts)
+                counts = {}
             for t in b.column("text").to_pylist():
                 if not t:
                     continue
-                if sum(len(c) for of in counts.values() for c in of) >= HELD:
-                    yield told(counts)
-                    counts = {}
                 runs: list[tuple[str, int]] = []  # stretches of one language
                 for lo, _, _, lang in passages(t):
                     if not runs or runs[-1][0] != lang:

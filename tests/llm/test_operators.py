@@ -67,6 +67,17 @@ def test_a_set_id_stands_for_one_set(spark):
     assert ids["a"] == ids["b"] != ids["c"] and sets.count() == 2
 
 
+def test_notations_of_a_digest(spark):
+    import base64
+
+    raw = bytes.fromhex("d175d1" + "ab" * 29)
+    b64 = base64.b64encode(raw).decode()
+    assert b64.startswith("0X")  # which is no prefix here
+    forms = [raw.hex(), raw.hex().upper(), "0x" + raw.hex(), "SHA256:" + raw.hex(), b64, b64.rstrip("="), b64.replace("+", "-").replace("/", "_"), "sha256:" + b64]
+    df = spark.createDataFrame([(f,) for f in [*forms, "", "n/a", "0" * 64, "pending", None]], "h string")
+    assert [r[0] for r in df.select(neardup.digest(df["h"])).collect()] == [raw.hex()] * 8 + [None] * 5
+
+
 def test_groups_are_the_connected_sets(spark):
     a = " ".join(f"a{i}" for i in range(40))
     df = spark.createDataFrame([("x", a), ("y", a + " b"), ("z", a), ("q", " ".join(f"c{i}" for i in range(40)))], "k string, t string")
