@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import word_count
+from ..operators.prefix import sums_before
 
 STATUSES = ("pending", "processing", "completed", "failed", "skipped")
 
@@ -31,11 +32,16 @@ def chunks_from_json(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def running_chunks(rows: DataFrame, keys: list[str], order: list[str], content: str = "content") -> DataFrame:
-    """Empty contents skipped (blank ones stay), with the running ``char_position`` and ``page_number`` (default place + 1)."""
+    """Empty contents skipped (blank ones stay), with the running ``char_position`` and ``page_number`` (default place + 1).
+
+    Sums run by segments of the first ``order`` column where that is a whole number.
+    """
     kept = rows.where(F.col(content).isNotNull() & (F.col(content) != ""))
-    w = W.partitionBy(*keys).orderBy(*order)
+    whole = rows.schema[order[0]].dataType.typeName() in ("integer", "long", "short", "byte")
+    kept = kept.withColumn("_segment", F.floor(F.col(order[0]) / 1024) if whole else F.lit(0))
     page = F.get_json_object("metadata", "$.page").cast("int") if "metadata" in rows.columns else F.lit(None).cast("int")
-    return kept.withColumns({"char_position": F.coalesce(F.sum(F.length(content)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "page_number": F.coalesce(page, F.row_number().over(w))})
+    out = sums_before(kept, keys, "_segment", order, {"char_position": F.length(content), "_place": F.lit(1)})
+    return out.withColumn("page_number", F.coalesce(page, (F.col("_place") + 1).cast("int"))).drop("_segment", "_place")
 
 
 def parse_conversations(rows: DataFrame, key: str, history: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.maintenance import latest
+from ..operators.prefix import by_segment, sums_before
 from ..runtime import complete_versions
 
 #: Phases of a run in order; INIT before the first, ERROR after a failure (fixed values).
@@ -21,12 +22,20 @@ PHASES = ("INIT", "DOCUMENT_DISCOVERY", "DOCUMENT_PROCESSING", "GRAPH_AUGMENTATI
 
 
 def sessions(events: DataFrame, user: str, ts: str, tie: str, hours: int = 24) -> DataFrame:
-    """``user, session_start, last_seen, n_events``: a gap of more than ``hours`` ends a session. Null users form their own."""
-    w = W.partitionBy(user).orderBy(ts, tie)
-    gap = F.lag(ts).over(w)
-    marked = events.where(F.col(ts).isNotNull()).select(user, ts, tie, F.when(gap.isNull() | (F.col(ts) > gap + F.expr(f"INTERVAL {hours} HOURS")), 1).otherwise(0).alias("new"))
-    k = marked.withColumn("k", F.sum("new").over(w))
-    return k.groupBy(user, "k").agg(F.min(ts).alias("session_start"), F.max(ts).alias("last_seen"), F.count("*").alias("n_events")).drop("k")
+    """``user, session_start, last_seen, n_events``: a gap of more than ``hours`` ends a session. Null users form their own.
+
+    Times are looked at week by week, and weeks meet by their first and last event, so a
+    user (or the missing one) with very many events is not gathered in one task.
+    """
+    e = events.where(F.col(ts).isNotNull()).select(user, ts, tie).withColumn("_week", F.floor(F.col(ts).cast("timestamp").cast("long") / (7 * 86_400)))
+    weeks = e.groupBy(user, "_week").agg(F.max(ts).alias("_last"))
+    weeks = weeks.select(user, "_week", F.lag("_last").over(W.partitionBy(user).orderBy("_week")).alias("_before"))
+    inside = W.partitionBy(user, "_week").orderBy(ts, tie)
+    e = by_segment(e.withColumn("_prev", F.lag(ts).over(inside)), weeks, [user, "_week"])
+    gap = F.coalesce("_prev", "_before")
+    marked = e.withColumn("_new", F.when(gap.isNull() | (F.col(ts) > gap + F.expr(f"INTERVAL {hours} HOURS")), 1).otherwise(0)).drop("_prev", "_before")
+    k = sums_before(marked, [user], "_week", [ts, tie], {"_k": F.col("_new")}).withColumn("_k", F.col("_k") + F.col("_new"))
+    return k.groupBy(user, "_k").agg(F.min(ts).alias("session_start"), F.max(ts).alias("last_seen"), F.count("*").alias("n_events")).drop("_k")
 
 
 def stream_sessions(events: DataFrame, user: str, ts: str, hours: int = 24, late: str = "1 hour") -> DataFrame:

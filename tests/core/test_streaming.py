@@ -77,3 +77,19 @@ def test_pipeline_resumes(spark, tmp_path):
     steps["DOCUMENT_PROCESSING"] = lambda: seen.append(2) or {}
     assert I.run_pipeline(steps, saved.append, "DOCUMENT_DISCOVERY")["success"] and seen == [1, 2]
     assert saved[-1]["phase"] == "FINISHED" and not I.can_resume(saved[-1]) and I.can_resume(saved[-2])
+
+
+def test_sessions_cross_weeks_and_hot_users(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice([None, None, 1, 2]), start + dt.timedelta(hours=rng.randrange(24 * 120)), i) for i in range(400)]
+    got = sorted((r["u"] or 0, r["session_start"], r["last_seen"], r["n_events"]) for r in I.sessions(spark.createDataFrame(rows, "u int, t timestamp_ntz, id int"), "u", "t", "id").collect())
+    want = []
+    for u in (None, 1, 2):
+        times = sorted(t for w, t, _ in rows if w == u)
+        cuts = [0, *(i for i in range(1, len(times)) if times[i] - times[i - 1] > dt.timedelta(hours=24)), len(times)]
+        want += [(u or 0, times[a], times[b - 1], b - a) for a, b in zip(cuts, cuts[1:])]
+    assert got == sorted(want)
