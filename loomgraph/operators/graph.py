@@ -52,23 +52,44 @@ def entity_lookup(nodes: DataFrame, queries: DataFrame, column: str = "query") -
     return nodes.where("type = 'N'").select("id", index_key("content").alias("k")).join(q, "k").select("query", "id")
 
 
-def phrase_match(nodes: DataFrame, queries: DataFrame, column: str = "query", most_queries: int = 10_000) -> DataFrame:
+def phrase_match(nodes: DataFrame, queries: DataFrame, column: str = "query", most_queries: int = 200) -> DataFrame:
     """``query, id``: entities whose content holds the phrase, for queries of two words or more without a direct hit.
 
-    The stated queries are sent to every executor, so their number is checked; matching is one pass over the entities.
+    Few phrases are sent to every executor and matched in one pass over the entities; more
+    meet the entities by an equi-join on their longest word first.
     """
     q = queries.select(F.col(column).alias("query")).where("query is not null").distinct()
     direct = entity_lookup(nodes, q, "query").select("query").distinct()
     q = q.join(direct, "query", "left_anti").withColumn("pattern", phrase_pattern("query")).where("pattern is not null")
     rows = q.limit(most_queries + 1).collect()
     if len(rows) > most_queries:
-        raise ValueError("too many phrases for one pass; split the queries")
+        return _phrase_join(nodes, q, most_queries)
     if not rows:
         return q.select("query", F.lit(None).cast("string").alias("id")).limit(0)
+    return _phrase_pass(nodes, rows)
+
+
+def _phrase_pass(nodes: DataFrame, rows: list) -> DataFrame:
+    """One pass over the entities for the given ``query, pattern`` rows."""
     hits = F.array_compact(F.array(*[F.when(F.lower("content").rlike(r["pattern"]), F.lit(r["query"])) for r in rows]))
     return nodes.where("type = 'N'").select("id", F.explode(hits).alias("query")).select("query", "id")
 
 
+def _phrase_join(nodes: DataFrame, phrases: DataFrame, block: int) -> DataFrame:
+    """The pairs of ``query, pattern`` rows and entities that share the phrase's longest word, then tested by the pattern."""
+    # words of ASCII, between which letters of other scripts stand: so a phrase's word is one of the text in either reading of a word's end
+    runs = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0))
+    longest = F.array_max(F.transform(runs(F.col("query")), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    p = cut(phrases.select("query", "pattern", longest.alias("w")))
+    e = nodes.where("type = 'N' and content is not null").select("id", F.lower("content").alias("c"))
+    met = e.select("id", "c", F.explode(F.array_distinct(runs(F.col("c")))).alias("w")).join(p.where("w is not null"), "w")
+    out = met.where(F.rlike(F.col("c"), F.col("pattern"))).select("query", "id")
+    other = p.where("w is null").collect()  # stated phrases without such a word take further passes
+    for i in range(0, len(other), block):
+        out = out.unionByName(_phrase_pass(nodes, other[i : i + block]))
+    return out.distinct()
+
+
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of which both ends are among the nodes."""
     ids = nodes.select("id")

@@ -251,3 +251,11 @@ def test_reformulate():
     assert R.reformulate("and her office?", said, lambda h, q: "Query: where is the office of Ann?") == "where is the office of Ann?"
     assert R.reformulate("q", said, lambda h, q: 1 / 0) == "q"
     assert R.decompose("a b a")[0] == "a b a" and len(R.decompose("one two three four five six")) == 21
+
+
+def test_many_phrases_meet_by_their_longest_word(spark):
+    names = ["Acme Energy Services Ltd", "Energy  services", "energy-services co", "Bio Energy", "the energy services-group", "???", "a ??? !! b"]
+    n = spark.createDataFrame([(f"n{i}", "N", c, None, None, i) for i, c in enumerate(names)], NODE)
+    q = spark.createDataFrame([(x,) for x in ("energy services", "bio energy inc", "acme energy", "single", "??? !!")], "query string")
+    few, many = ({tuple(r) for r in G.phrase_match(n, q, most_queries=m).collect()} for m in (100, 1))
+    assert few == many and {("energy services", "n0"), ("energy services", "n1"), ("acme energy", "n0")} <= few
