@@ -142,3 +142,11 @@ def test_replies(spark):
     said = lambda c: T.repaired_triple(F.array(F.lit("x")), c)
     assert tuple(one(spark, '{"source": "a", "relationship": "r", "target": "b"}', said)) == ("A", "r", "B") and tuple(one(spark, "broken", said)) == ("X", "", "")
     assert one(spark, "Query: query: Output: what", T.strip_reworded_prefix) == "what" and one(spark, "Answer: x", T.strip_reworded_prefix) == "Answer: x"
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 37, 68, 71, 10**9])
+def test_added_vectors_are_the_least_keys(spark, most):
+    rows = [(f"n{i % 70:02d}" if i % 11 else None, [1.0, 0.0]) for i in range(300)]
+    new = spark.createDataFrame(rows, "node_id string, embedding array<float>")
+    want = sorted({r[0] or "" for r in rows})[:most]
+    assert sorted(r["node_id"] or "" for r in VS.add_vectors(new.limit(0), new, 2, most).collect()) == want
