@@ -144,6 +144,20 @@ def test_replies(spark):
     assert one(spark, "Query: query: Output: what", T.strip_reworded_prefix) == "what" and one(spark, "Answer: x", T.strip_reworded_prefix) == "Answer: x"
 
 
+def test_rebuilt_index_equals_its_sql(spark, tmp_path):
+    from loomgraph.plans import more
+
+    rows = [(i, f"n{i // 2 % 70:02d}" if i % 11 else None, [None, "S", "N", "A"][i % 4], [1.0] * (64 if i % 13 else 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, node_id string, node_type string, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/noderag_embeddings.parquet")
+    want: dict = {}
+    for i, node, kind, v in rows:
+        if i % 3 == 0 and len(v) == 64:
+            want[node] = min([x for x in (want.get(node), kind) if x is not None], default=None)
+    got = more.rebuilt_index(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+
+
 @pytest.mark.parametrize("most", [0, 1, 2, 37, 68, 71, 10**9])
 def test_added_vectors_are_the_least_keys(spark, most):
     rows = [(f"n{i % 70:02d}" if i % 11 else None, [1.0, 0.0]) for i in range(300)]
