@@ -178,7 +178,7 @@ def important_entities(nodes: DataFrame, scores: DataFrame, fraction: float = 0.
 
 def _parts(r: int) -> int:
     """In how many turns the nodes of a pass move: two at first, more while a level does not settle."""
-    return 2 << r // 8
+    return 2 << min(r // 8, 28)
 
 
 #: Turns are drawn anew each pass from a node's number and a power of a primitive root (fixed values).
@@ -189,36 +189,60 @@ def _factor(r: int) -> int:
     return pow(ROOT, r + 1, PRIME)
 
 
-def _local_moving(ids: np.ndarray, mark: np.ndarray, src: np.ndarray, dst: np.ndarray, resolution: float, most_passes: int) -> np.ndarray:
-    """The least member of each node's community. The rule of ``communities`` on arrays; ``ids`` are sorted, ends are their numbers."""
+def _best(own: np.ndarray, com: np.ndarray, k: np.ndarray, total: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float, two_m: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the nodes ``own``, whose edges are given, that gain by moving, ascending, and where to."""
+    n = len(com)
+    pair, at = np.unique(np.r_[src, own] * n + np.r_[com[dst], com[own]], return_inverse=True)
+    kin = np.bincount(at, np.r_[w, np.zeros(len(own))])
+    v, c = pair // n, pair % n
+    rest = total[c] - np.where(c == com[v], k[v], 0.0)
+    gain = np.floor((kin - resolution * k[v] * rest / two_m) * 1e9 + 0.5)
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    best = np.maximum.reduceat(gain, first)
+    top = np.flatnonzero(gain == np.repeat(best, np.diff(np.r_[first, len(v)])))
+    # communities ascend within a node, so the first of the best is the least
+    x, i = np.unique(v[top], return_index=True)
+    go = best > gain[c == com[v]]
+    return x[go], c[top[i]][go]
+
+
+def _local_moving(ids: np.ndarray, mark: np.ndarray, src: np.ndarray, dst: np.ndarray, resolution: float, most_passes: int | None) -> np.ndarray:
+    """The least member of each node's community. The rule of ``communities`` on arrays; ``ids`` are sorted, ends are their numbers.
+
+    Only nodes whose turn it is are looked at. Several turns are looked at together, as many
+    as are likely to have one move between them: up to the first that has moves they see the
+    same state.
+    """
     w = np.ones(len(src))
     two_m, member = float(len(src)), np.arange(len(ids))
     while True:
         k = np.bincount(src, w, len(ids))
         here = np.unique(src)
-        com = np.arange(len(ids))
-        for r in range(most_passes):
-            moved = 0
-            for part in range(_parts(r)):
-                total = np.bincount(com[here], k[here], len(ids))
-                off = src != dst
-                v, c, kin = np.r_[src[off], here], np.r_[com[dst[off]], com[here]], np.r_[w[off], np.zeros(len(here))]
-                pair, at = np.unique(v * len(ids) + c, return_inverse=True)
-                kin = np.bincount(at, kin)
-                v, c = pair // len(ids), pair % len(ids)
-                rest = total[c] - np.where(c == com[v], k[v], 0.0)
-                gain = np.floor((kin - resolution * k[v] * rest / two_m) * 1e9 + 0.5)
-                order = np.lexsort((c, -gain, v))
-                first = order[np.r_[True, v[order][1:] != v[order][:-1]]]
-                now = np.zeros(len(ids))
-                own = c == com[v]
-                now[v[own]] = gain[own]
-                x = v[first]
-                go = (gain[first] > now[x]) & (mark[x] * _factor(r) % PRIME // 8 % _parts(r) == part)
-                com[x[go]] = c[first][go]
-                moved += int(go.sum())
+        com, total = np.arange(len(ids)), k.copy()
+        off = src != dst
+        s, d, f = src[off], dst[off], w[off]
+        r, last = 0, len(here)
+        while r != most_passes:
+            parts, moved, part = _parts(r), 0, 0
+            turn = mark * _factor(r) % PRIME // 8 % parts
+            edges, nodes = np.argsort(turn[s], kind="stable"), here[np.argsort(turn[here], kind="stable")]
+            edge_turn, node_turn = turn[s][edges], turn[nodes]
+            while part < parts:
+                to = min(parts, part + max(1, parts // (last + 1)))
+                at = edges[slice(*np.searchsorted(edge_turn, (part, to)))]
+                own = nodes[slice(*np.searchsorted(node_turn, (part, to)))]
+                x, c = _best(own, com, k, total, s[at], d[at], f[at], resolution, two_m) if len(own) else (own, own)
+                if len(x):
+                    to = int(turn[x].min()) + 1
+                    x, c = x[turn[x] < to], c[turn[x] < to]
+                    np.subtract.at(total, com[x], k[x])
+                    np.add.at(total, c, k[x])
+                    com[x] = c
+                    moved += len(x)
+                part = to
             if not moved:
                 break
+            r, last = r + 1, moved
         else:
             raise RuntimeError("communities did not settle")
         least = np.full(len(ids), len(ids))
@@ -232,17 +256,31 @@ def _local_moving(ids: np.ndarray, mark: np.ndarray, src: np.ndarray, dst: np.nd
         w, src, dst = np.bincount(at, w), pair // len(ids), pair % len(ids)
 
 
-def _communities_in_task(graph: DataFrame, resolution: float, most_passes: int) -> DataFrame:
+def _numbered(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, node``, numbers in the order of the ids, and the edges ``a, b`` as numbers, each once with a < b."""
+    ids = adj.select(F.col("src").alias("id")).distinct().repartitionByRange(shuffle_partitions(adj.sparkSession), "id").sortWithinPartitions("id")
+    names = cut(ids.select("id", F.monotonically_increasing_id().alias("node")))
+    one = adj.where("src < dst").join(names.select(F.col("id").alias("src"), F.col("node").alias("a")), "src")
+    return names, cut(one.join(names.select(F.col("id").alias("dst"), F.col("node").alias("b")), "dst").select("a", "b"))
+
+
+def _communities_in_task(graph: DataFrame, resolution: float, most_passes: int | None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = pd.concat(list(batches), ignore_index=True)
         if e.empty:
             return
-        ids, first, at = np.unique(np.concatenate([e["src"], e["dst"]]).astype(object), return_index=True, return_inverse=True)
-        mark = np.concatenate([e["ms"], e["md"]])[first]
-        label = _local_moving(ids, mark, at[: len(e)], at[len(e) :], resolution, most_passes)
-        yield pd.DataFrame({"id": ids, "c2": ids[label]})
+        ends = e[["a", "b"]].to_numpy().T.ravel()
+        ids, first, at = np.unique(ends, return_index=True, return_inverse=True)
+        mark = e[["ma", "mb"]].to_numpy().T.ravel()[first]
+        a, b = at[: len(e)], at[len(e) :]
+        label = _local_moving(ids, mark, np.r_[a, b], np.r_[b, a], resolution, most_passes)
+        yield pd.DataFrame({"node": ids, "to": ids[label]})
 
-    return graph.select("src", "dst", _mark("src").alias("ms"), _mark("dst").alias("md")).coalesce(1).mapInPandas(run, "id string, c2 string")
+    names, pairs = _numbered(graph)
+    marked = names.select("node", _mark("id").alias("m"))
+    sent = pairs.join(marked.toDF("a", "ma"), "a").join(marked.toDF("b", "mb"), "b")
+    got = cut(cut(sent).coalesce(1).mapInPandas(run, "node bigint, to bigint"))
+    return got.join(names, "node").join(names.select(F.col("node").alias("to"), F.col("id").alias("c2")), "to").select("id", "c2")
 
 
 def _mark(c: str) -> Column:
@@ -250,12 +288,12 @@ def _mark(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(PRIME))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, send_edges: int = SEND_EDGES, most_passes: int = 64) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, send_edges: int = SEND_EDGES, most_passes: int | None = None) -> DataFrame:
     """``id, community``: modularity communities; the label is the least node id inside.
 
     Nodes move in turns to the neighbouring community of largest gain (ties: least label)
     until no node of any level gains; parts of a pass become smaller while a level does
-    not settle.  Graphs of at most ``send_edges`` directed edges do this on arrays in one
+    not settle, down to single nodes, whose moves only gain; ``most_passes`` used up before is an error.  Graphs of at most ``send_edges`` directed edges do this on arrays in one
     task, larger ones as joins: the rule and so the result is the same.
     """
     graph = cut(both_ways(edges).select("src", "dst", F.lit(1.0).alias("w")))
@@ -270,26 +308,34 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sen
     while True:
         strength = graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k"))
         own = cut(strength.select("v", F.col("v").alias("c"), "k"), fresh=True)
-        for r in range(most_passes):
-            parts, n_moved = _parts(r), 0
-            for part in range(parts):
+        r = 0
+        while r != most_passes:
+            parts, n_moved, part = _parts(r), 0, 0
+            turn = F.expr(f"pmod(xxhash64(v), {PRIME}) * {_factor(r)} % {PRIME} div 8 % {parts}")
+            while part < parts:
+                # all turns left are looked at together: up to the first that has moves they see the same state
                 total = own.groupBy("c").agg(F.sum("k").alias("tot"))
-                link = graph.where("src != dst").join(own.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v"), "c").agg(F.sum("w").alias("kin"))
-                here = own.select("v", F.col("c").alias("old"), "k")
-                cand = link.unionByName(own.select("v", "c", F.lit(0.0).alias("kin"))).groupBy("v", "c").agg(F.sum("kin").alias("kin"))
+                ends = graph.where("src != dst").select(F.col("src").alias("v"), "dst", "w").where(turn >= part)
+                link = ends.join(own.select(F.col("v").alias("dst"), "c"), "dst").groupBy("v", "c").agg(F.sum("w").alias("kin"))
+                here = own.where(turn >= part).select("v", F.col("c").alias("old"), "k")
+                cand = link.unionByName(here.select("v", F.col("old").alias("c"), F.lit(0.0).alias("kin"))).groupBy("v", "c").agg(F.sum("kin").alias("kin"))
                 cand = cand.join(here, "v").join(total, "c")
                 stays = F.col("c") == F.col("old")
                 rest = F.col("tot") - F.when(stays, F.col("k")).otherwise(F.lit(0.0))
                 gain = F.floor((F.col("kin") - F.lit(resolution) * F.col("k") * rest / F.lit(two_m)) * F.lit(1e9) + F.lit(0.5))
                 # the best is a maximum of pairs of gain and place from the end, so nothing is sorted
                 best = cand.withColumn("g", gain).groupBy("v").agg(F.min(F.struct((-F.col("g")).alias("g"), "c")).alias("top"), F.max(F.when(stays, F.col("g"))).alias("now"))
-                turn = F.expr(f"pmod(xxhash64(v), {PRIME}) * {_factor(r)} % {PRIME} div 8 % {parts} = {part}")
-                go = turn & (-F.col("top.g") > F.col("now"))
-                moved = cut(own.join(best, "v").select("v", F.when(go, F.col("top.c")).otherwise(F.col("c")).alias("c"), "k", go.alias("m")), fresh=True)
-                n_moved += moved.where("m").count()
-                own = moved.drop("m")
+                goes = cut(best.where(-F.col("top.g") > F.col("now")).select("v", F.col("top.c").alias("to"), turn.alias("turn")), fresh=True)
+                first = goes.agg(F.min("turn")).first()[0]
+                if first is None:
+                    break
+                goes = goes.where(F.col("turn") == first)
+                n_moved += goes.count()
+                own = cut(own.join(goes.select("v", "to"), "v", "left").select("v", F.coalesce("to", "c").alias("c"), "k"), fresh=True)
+                part = first + 1
             if not n_moved:
                 break
+            r += 1
         else:
             raise RuntimeError("communities did not settle")
         label = own.select("v", "c")

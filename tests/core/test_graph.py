@@ -259,3 +259,20 @@ def test_many_phrases_meet_by_their_longest_word(spark):
     q = spark.createDataFrame([(x,) for x in ("energy services", "bio energy inc", "acme energy", "single", "??? !!")], "query string")
     few, many = ({tuple(r) for r in G.phrase_match(n, q, most_queries=m).collect()} for m in (100, 1))
     assert few == many and {("energy services", "n0"), ("energy services", "n1"), ("acme energy", "n0")} <= few
+
+
+def test_communities_settle_however_many_passes_it_takes():
+    import numpy as np
+
+    o, n, m = np.random.default_rng(2), 8_000, 20_000
+    a, b = o.integers(0, n, m), (n * o.random(m) ** 3).astype(int)
+    k = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+    a, b = k // n, k % n
+    ends, at = np.unique(np.r_[a[a != b], b[a != b]], return_inverse=True)
+    a, b = at[: len(at) // 2], at[len(at) // 2 :]
+    ids, mark = np.arange(len(ends)), o.integers(0, C.PRIME, len(ends))
+    run = lambda most: C._local_moving(ids, mark, np.r_[a, b], np.r_[b, a], 1.0, most)
+    with pytest.raises(RuntimeError, match="settle"):
+        run(64)
+    label = run(None)
+    assert 1 < len(set(label)) < len(ids) and (label[label] == label).all() and (label <= ids).all()
