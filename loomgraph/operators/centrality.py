@@ -2,8 +2,8 @@
 
 Core numbers: repeated h-index of the neighbours' values, from counts by value, so a hub's
 neighbours are never gathered.  Betweenness: exact; while the edges are few enough to be
-sent to executors (checked), sources are spread over tasks that each hold the adjacency;
-beyond that, blocks of sources advance level by level as joins; a sampled estimate with its
+sent to executors (checked), trees are folded into the nodes where they hang and sources
+are spread over tasks that each hold the adjacency of the rest; beyond that, blocks of sources advance level by level as joins; a sampled estimate with its
 error stands beside it.  Communities: local moving by modularity in turns, then contraction,
 repeated until nothing gains; graphs of a checked size on arrays in one task, larger ones as
 joins, by one rule and with one result.
@@ -14,11 +14,11 @@ betweenness 0 and their own community; equal gains go to the least community id.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..runtime import cut, shuffle_partitions
@@ -46,26 +46,89 @@ def core_numbers(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = No
     return nodes.select("id").join(cur, "id", "left").na.fill(0, ["core"])
 
 
-def _brandes(source: int, start: np.ndarray, to: np.ndarray, out: np.ndarray) -> None:
-    n = len(start) - 1
-    sigma, dist, delta = np.zeros(n), np.full(n, -1), np.zeros(n)
-    sigma[source], dist[source] = 1, 0
-    order, before, q = [], [[] for _ in range(n)], deque([source])
-    while q:
-        v = q.popleft()
-        order.append(v)
-        for w in to[start[v] : start[v + 1]]:
-            if dist[w] < 0:
-                dist[w] = dist[v] + 1
-                q.append(w)
-            if dist[w] == dist[v] + 1:
-                sigma[w] += sigma[v]
-                before[w].append(v)
-    for w in reversed(order):
-        for v in before[w]:
-            delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-        if w != source:
-            out[w] += delta[w]
+def _levels(start: np.ndarray, to: np.ndarray, sources: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Distances, a row for each bit, from the nearest of its sources (-1: none); up to 64 searches go in the bits of a word."""
+    n, width = len(start) - 1, int(bit.max()) + 1
+    out, degree = np.full((n, width), -1, np.int16), np.diff(start)
+    new = np.zeros(n, np.uint64)
+    np.bitwise_or.at(new, sources, np.uint64(1) << bit.astype(np.uint64))
+    seen, level = new.copy(), 0
+    while len(at := np.flatnonzero(new)):
+        if level > np.iinfo(out.dtype).max:
+            out = out.astype(np.int32)
+        reached = np.unpackbits(new[at].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width]
+        rows = out[at]
+        rows[reached.view(bool)] = level
+        out[at] = rows
+        size = degree[at]
+        if 8 * size.sum() < len(to):
+            got, first = np.zeros(n, np.uint64), np.cumsum(size) - size
+            np.bitwise_or.at(got, to[np.arange(size.sum()) + np.repeat(start[at] - first, size)], np.repeat(new[at], size))
+        else:
+            got = np.bitwise_or.reduceat(new[to], start[:-1])
+        new, level = got & ~seen, level + 1
+        seen |= new
+    return np.ascontiguousarray(out.T)
+
+
+def _dependencies(s: int, dist: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Brandes' dependencies of a source on all nodes, level by level; a node stands for ``weight`` ends of paths."""
+    n, from_ = len(weight), dist[src]
+    down = np.flatnonzero(from_ < dist[dst])
+    level = from_[down]
+    down = down[np.argsort(level, kind="stable")]
+    tail, head = src[down], dst[down]
+    ends = np.r_[0, np.cumsum(np.bincount(level))]
+    sigma, delta = np.zeros(n), np.zeros(n)
+    sigma[s] = 1
+
+    def add(into: np.ndarray, at: np.ndarray, what: np.ndarray) -> None:
+        if 16 * len(at) < n:
+            np.add.at(into, at, what)
+        else:
+            into += np.bincount(at, what, n)
+
+    for i, j in zip(ends, ends[1:]):
+        add(sigma, head[i:j], sigma[tail[i:j]])
+    for i, j in zip(ends[-2::-1], ends[:0:-1]):
+        h, t = head[i:j], tail[i:j]
+        add(delta, t, (weight[h] + delta[h]) / sigma[h] * sigma[t])
+    delta[s] = 0
+    return delta
+
+
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each node's component."""
+    label = np.arange(n)
+    while (label[a] != label[b]).any():
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+    return label
+
+
+def _folded(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trees folded into where they hang: which edges stay, how many nodes each node stands for, and ordered pairs whose paths trees send through it."""
+    degree = np.bincount(np.r_[a, b], minlength=n)
+    near, weight, square = np.zeros(n, np.int64), np.ones(n), np.zeros(n)
+    np.bitwise_xor.at(near, a, b)
+    np.bitwise_xor.at(near, b, a)
+    gone, leaves = np.zeros(n, bool), np.flatnonzero(degree == 1)
+    while len(leaves):
+        # of two leaves that are only linked to each other the lesser stays
+        leaves = leaves[(degree[near[leaves]] > 1) | (near[leaves] < leaves)]
+        to = near[leaves]
+        gone[leaves] = True
+        degree[leaves] = 0
+        np.subtract.at(degree, to, 1)
+        np.bitwise_xor.at(near, to, leaves)
+        np.add.at(weight, to, weight[leaves])
+        np.add.at(square, to, weight[leaves] ** 2)
+        leaves = np.unique(to[degree[to] == 1])
+    label = _components(n, a, b)
+    whole = np.bincount(label, minlength=n)[label].astype(float)
+    return ~(gone[a] | gone[b]), weight, (whole - 1) ** 2 - square - (whole - weight) ** 2
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, normalised: bool = True) -> DataFrame:
@@ -103,33 +166,63 @@ def betweenness_sampled(nodes: DataFrame, edges: DataFrame, most_sources: int =
 
 
 def _betweenness_sent(spark, adj: DataFrame, chosen: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
-    rows = adj.toPandas()
-    ids = np.array(sorted(set(rows["src"])), dtype=object)
-    number = {v: i for i, v in enumerate(ids)}
-    src, dst = (rows[c].map(number).to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64) for c in ("src", "dst"))
-    order = np.argsort(src, kind="stable")
-    start = np.searchsorted(src[order], np.arange(len(ids) + 1))
-    shared = spark.sparkContext.broadcast((start, dst[order].astype(np.int64)))
+    """``id, raw, square`` from all sources, or from the ``chosen`` ones; without these trees are folded first (and ``square`` is of what is left)."""
+    names, pairs = _numbered(adj)
+    got = pairs.toArrow()
+    ids, at = np.unique(np.concatenate([got.column(c).to_numpy() for c in "ab"]), return_inverse=True)
+    a, b, n = at[: len(at) // 2], at[len(at) // 2 :], len(ids)
+    every = chosen is None
+    stays, weight, base = _folded(n, a, b) if every else (np.ones(len(a), bool), np.ones(n), np.zeros(n))
+    # the nodes left by component, and in it from its hub outwards, so that what is near lies near
+    left, at = np.unique(np.r_[a[stays], b[stays]], return_inverse=True)
+    src, dst = at, np.r_[at[len(at) // 2 :], at[: len(at) // 2]]
+    start = np.searchsorted(np.sort(src), np.arange(len(left) + 1))
+    order = np.arange(len(left))
+    if len(left):
+        label = _components(len(left), src, dst)
+        hubs = np.lexsort((-np.diff(start), label))
+        hubs = hubs[np.r_[True, np.diff(label[hubs]) > 0]]
+        far = _levels(start, dst[np.argsort(src, kind="stable")], hubs, np.zeros(len(hubs), np.int64))[0]
+        order = np.lexsort((far, label))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        src, dst = place[src], place[dst]
+        by = np.lexsort((dst, src))
+        src, dst, left, label = src[by], dst[by], left[order], label[order]
+        start = np.searchsorted(src, np.arange(len(left) + 1))
+        bounds = np.flatnonzero(np.r_[True, np.diff(label) != 0, True])
+    else:
+        bounds = np.zeros(1, np.int64)
+    shared = spark.sparkContext.broadcast((ids[left], weight[left], start, src.astype(np.int32), dst.astype(np.int32), bounds))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, to = shared.value
-        out, square = np.zeros(len(start) - 1), np.zeros(len(start) - 1)
-        for b in batches:
-            for s in b["id"]:
-                part = np.zeros(len(start) - 1)
-                _brandes(int(s), start, to, part)
-                out += part
-                square += part * part
+        nodes, weight, start, src, dst, bounds = shared.value
+        out, square, by_id = np.zeros(len(nodes)), np.zeros(len(nodes)), np.argsort(nodes)
+        for batch in batches:
+            s = np.sort(batch["id"].to_numpy() if every else by_id[np.searchsorted(nodes, batch["id"], sorter=by_id)])
+            part = np.searchsorted(bounds, s, "right") - 1
+            for p in np.unique(part):
+                lo, hi = bounds[p], bounds[p + 1]
+                x, y = (e[start[lo] : start[hi]].astype(np.int64) - lo for e in (src, dst))
+                own, first, w = s[part == p] - lo, start[lo : hi + 1] - start[lo], weight[lo:hi]
+                for i in range(0, len(own), 64):
+                    some = own[i : i + 64]
+                    for k, dist in zip(some, _levels(first, y, some, np.arange(len(some)))):
+                        d = _dependencies(k, dist, x, y, w) * w[k]
+                        out[lo:hi] += d
+                        if not every:
+                            square[lo:hi] += d * d
         hit = np.flatnonzero(out)
-        yield pd.DataFrame({"node": hit, "part": out[hit], "square": square[hit]})
+        yield pd.DataFrame({"node": nodes[hit], "part": out[hit], "square": square[hit]})
 
-    names = spark.createDataFrame(pd.DataFrame({"node": np.arange(len(ids)), "id": ids.astype(str)}), "node bigint, id string")
-    spread = max(1, min(len(ids), 4 * shuffle_partitions(spark)))
-    if chosen is None:
-        sources = spark.range(0, len(ids), 1, spread)
+    if every:
+        sources = spark.range(0, len(left), 1, max(1, min(len(left), 4 * shuffle_partitions(spark))))
     else:
-        sources = names.join(chosen, "id").select(F.col("node").alias("id")).repartition(spread)
-    parts = sources.mapInPandas(run, "node bigint, part double, square double").groupBy("node").agg(F.sum("part").alias("raw"), F.sum("square").alias("square"))
+        sources = names.join(chosen, "id").select(F.col("node").alias("id")).repartition(max(1, min(n, 4 * shuffle_partitions(spark))))
+    parts = sources.mapInPandas(run, "node bigint, part double, square double")
+    hung = np.flatnonzero(base)
+    parts = parts.unionByName(spark.createDataFrame(pa.table({"node": ids[hung], "part": base[hung], "square": np.zeros(len(hung))}), "node bigint, part double, square double"))
+    parts = parts.groupBy("node").agg(F.sum("part").alias("raw"), F.sum("square").alias("square"))
     return parts.join(names, "node").select("id", "raw", "square")
 
 

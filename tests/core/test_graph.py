@@ -276,3 +276,23 @@ def test_communities_settle_however_many_passes_it_takes():
         run(64)
     label = run(None)
     assert 1 < len(set(label)) < len(ids) and (label[label] == label).all() and (label <= ids).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_betweenness_folds_trees(spark, seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    # cores of two components with trees on them, a tree, a pair and a cycle
+    pairs = random_graph(seed, 12, 18) + [("x" + a, "x" + b) for a, b in random_graph(seed + 9, 6, 9)]
+    pairs += [(rng.choice([p for q in pairs for p in q]), f"t{i}") for i in range(8)] + [(f"t{i // 2}", f"u{i}") for i in range(8)]
+    pairs += [("p0", "p1"), ("q0", "q1"), ("q1", "q2"), ("q1", "q3"), ("q3", "q4")] + [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    adj = adjacency(pairs)
+    n, e = nodes(spark, sorted(adj)), edges(spark, pairs)
+    got = {r[0]: round(r[1], 6) for r in C.betweenness(n, e, False).collect()}
+    assert got == {k: round(v, 6) for k, v in brute_betweenness(adj).items()}
+    number = {v: i for i, v in enumerate(sorted(adj))}
+    a, b = (np.array([number[p[k]] for p in sorted({tuple(sorted(p)) for p in pairs})]) for k in (0, 1))
+    stays, weight, _ = C._folded(len(number), a, b)
+    left = set(a[stays]) | set(b[stays])
+    assert all(sum((a[stays] == v) | (b[stays] == v)) > 1 for v in left) and weight[[number["t7"], number["q0"], number["p1"]]].max() == 1
