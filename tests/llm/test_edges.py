@@ -101,3 +101,16 @@ def test_p8(spark, dirty):
     got = rows(spark, dirty, "p8_found")
     assert {(5, 0, 4), (5, 5, 9), (5, 10, 12), (5, 12, 14)} <= got
     assert not {2, 3, 4} & {r[0] for r in got}
+
+
+def test_short_words_in_a_crowd_of_companions(spark, monkeypatch):
+    from itertools import product
+
+    from loomgraph.llm import names
+
+    crowd = ["".join(w) for w in product("bcdfgh", "aeiou", "klmnp")] + ["aerospace", "aero", "international", "intl", "wide", "widely", "winter", "wider", "wntr"]
+    rows = [("ORG", "", f"{w}-harbour") for w in crowd]
+    for block in (names.MEET_WORDS, 3):
+        monkeypatch.setattr(names, "MEET_WORDS", block)
+        got = names._short_words(spark.createDataFrame(rows, "kind string, initial string, root string")).collect()
+        assert {(r["root"], r["better"]) for r in got} == {(f"{a}-harbour", f"{b}-harbour") for a, b in (("aero", "aerospace"), ("intl", "international"), ("wide", "widely"), ("wntr", "winter"))}
