@@ -223,6 +223,54 @@ def test_learned_joins_and_furniture():
     assert scanned.learn_furniture([])
 
 
+def test_every_word_trains_in_some_shard(spark, monkeypatch):
+    rng = random.Random(4)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    words = sorted({"".join(rng.choice(syllables) for _ in range(4)) for _ in range(300)})
+    seen = spark.createDataFrame([(w,) for w in words], "w string")
+    monkeypatch.setattr(scanned, "SHARD_WORDS", 100)
+    read = lambda shard, t, r, weights: ({w: 1 for w in t.column("w").to_pylist()}, {w: 1 for w in t.column("w").to_pylist()}, len(t))
+    got = scanned._mixed(seen, len(words), 2, read)
+    # three shards: each word changes its weight by a third in the first round, which lasts through the second
+    assert set(got) == set(words) and all(abs(v - (1 / 3 * len(words) + 2) / (2 * len(words))) < 1e-9 for v in got.values())
+    ed = scanned.train_editor_on(seen)
+    wrong = [(scanned._corrupted(w, rng)[0], w) for w in words]
+    assert sum(w in dict(ed.readings(bad)) for bad, w in wrong if bad != w) >= 0.8 * sum(bad != w for bad, w in wrong)
+
+
+def test_confusions_learned_on_tables_are_those_of_lists(spark):
+    rng = random.Random(2)
+    frequent = sorted({"".join(rng.choice("abcdeiy") for _ in range(rng.randrange(5, 8))) for _ in range(400)})
+    slips = lambda n, *of: sorted({w.replace(a, b, 1) for w in rng.sample(frequent, n) for a, b in of if a in w} - set(frequent))
+    rare, plain = slips(300, ("y", "v"), ("a", "oj"), ("bc", "k"), ("e", "")), slips(150, ("e", ""), ("c", "g"))
+    plain = sorted(set(plain) - set(rare))
+    few = spark.createDataFrame([(w, True) for w in rare] + [(w, False) for w in plain], "w string, scan boolean")
+    got = scanned._learned(few, spark.createDataFrame([(w,) for w in frequent], "w string"))
+    assert got == scanned.learn_confusions([w for w in rare if len(w) >= 5], [w for w in plain if len(w) >= 5], frequent) and ("y", "v") in got and ("a", "oj") in got
+
+
+def test_confusions_of_few_among_many_frequent_words(spark):
+    rng = random.Random(8)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    vocab = sorted({"".join(rng.choice(syllables) for _ in range(4)) for _ in range(12_000)})
+    stems = rng.sample(vocab, 11)
+    vocab, right = [w for w in vocab if w not in stems], [w[:3] + "y" + w[4:] for w in stems]
+    clean = [(0, "c", 0, " ".join((vocab + right) * 20 + [w + "qqq" for w in vocab[:400]]))]
+    scans = [(1 + i, "s", i, f"Annual budget of Vomo   {i + 3}\n" + " ".join(rng.sample(vocab, 20)) + f" {w.replace('y', 'v')} there.\nPage {i + 3} of 40\n\f" + " ".join(rng.sample(vocab, 12))) for i, w in enumerate(right)]
+    df = spark.createDataFrame(clean + scans, "chunk_key bigint, file_id string, chunk_index int, content string")
+    got = {(r[0], r[2]) for r in scanned.findings(df)[0].collect() if r[1] == "misread"}
+    assert {(1 + i, w) for i, w in enumerate(right)} <= got
+
+
+def test_furniture_learns_from_equal_lines_with_their_counts():
+    learn = lambda rows: scanned.learn_furniture([dict(zip(scanned.GROUP, r)) for r in rows])
+    one, two = (1, 0, 0, 0, 4, 2, 0), (6, 6, 0, 0, 4, 2, 6)
+    many = scanned._furniture_weights({scanned._furniture_example(one): 10**9, scanned._furniture_example(two): 7})
+    assert learn([one] * 30 + [two] * 7).keys() == many.keys()
+    head = lambda w, *a: sum(w.get(x, 0) for x in scanned.position_features(*a)) > 0
+    assert head(many, *two[:6]) and not head(many, *one[:6])
+
+
 def test_repaired_text():
     text = "Annual budget of Vomo   3\nThe harbour board audi-\nted it and the\npage was cl0sed.\nPage 3 of 9\n\fAnnual budget of Vomo   4\nAll went well."
     got = scanned.repaired(text, {scanned.head_key("Annual budget of Vomo")}, {"cl0sed": "closed"}, {"audited": "audited"})
